@@ -8,10 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from salesmart.functions.dates import parse_date
 from salesmart.functions.numeric import round_half_up
-from salesmart.operators.enrich import enrich_sales
 from salesmart.schema import KEY_FIELDS
 
 COPIES = "_copies"
@@ -94,61 +93,95 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
 
 
-def _counter_columns(rows: DataFrame) -> list[Column]:
-    """The seven counters over ``distinct_rows`` output, weighted by copies."""
-    copies = F.col(COPIES)
-    conditions = [
-        F.lit(True),
-        _any_missing(rows, KEY_FIELDS),
-        missing(rows, "sales_quantity"),
-        missing(rows, "stock_quantity"),
-        F.col("sales_quantity") < 0,
-        F.col("stock_quantity") < 0,
-    ]
-    weighted = [F.sum(F.when(c, copies).otherwise(0)) for c in conditions]
-    weighted.append(F.sum(copies - 1))
-    return [F.coalesce(w, F.lit(0)).cast("bigint").alias(n) for w, n in zip(weighted, COUNTERS)]
+def _counters(rows: DataFrame, weight: Column) -> dict[str, Column]:
+    """The seven counters as aggregates over distinct rows, each standing for ``weight`` rows."""
+    conditions = {
+        "total_rows": F.lit(True),
+        "null_any_key_field": _any_missing(rows, KEY_FIELDS),
+        "null_sales_quantity": missing(rows, "sales_quantity"),
+        "null_stock_quantity": missing(rows, "stock_quantity"),
+        "negative_sales": F.col("sales_quantity") < 0,
+        "negative_stock": F.col("stock_quantity") < 0,
+    }
+    sums = {name: F.sum(F.when(c, weight)) for name, c in conditions.items()}
+    sums["duplicate_rows"] = F.sum(weight - 1)
+    return {name: F.coalesce(total, F.lit(0)).cast("bigint") for name, total in sums.items()}
 
 
-def _profile(rows: DataFrame, stage: str) -> DataFrame:
-    return rows.agg(*_counter_columns(rows)).select(F.lit(stage).alias("stage"), *COUNTERS)
+def _named(counters: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in counters.items()]
 
 
 def profile_dq(df: DataFrame, stage: str = "before_clean") -> DataFrame:
     """The seven counters as one row: one scan and one shuffle for all of them."""
-    return _profile(distinct_rows(_sale_columns(df)), stage)
-
+    rows = distinct_rows(_sale_columns(df))
+    counted = rows.agg(*_named(_counters(rows, F.col(COPIES))))
+    return counted.select(F.lit(stage).alias("stage"), *COUNTERS)
+
+
+def _report_rows(before: dict[str, Column], after: dict[str, Column]) -> Column:
+    """Generator of the two report rows; the after row also says how many rows went."""
+    raw_total = before["total_rows"]
+    removed = raw_total - after["total_rows"]
+    share = round_half_up(removed * F.lit(100.0) / F.greatest(raw_total, F.lit(1)), 2)
+
+    def row(stage: str, counts: dict[str, Column], gone: Column, pct: Column) -> Column:
+        return F.struct(
+            F.lit(stage).alias("stage"),
+            counts["total_rows"].alias("total_rows"),
+            gone.cast("bigint").alias("rows_removed"),
+            pct.cast("double").alias("pct_removed"),
+            *(counts[c].alias(c) for c in COUNTERS[1:]),
+        )
 
-def combine_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Two-row report; the after row also says how many rows were removed."""
-    # Exactly two rows reach this window.
-    raw_total = F.max(F.when(F.col("stage") == "before_clean", F.col("total_rows"))).over(
-        Window.partitionBy()
-    )
-    removed = F.when(F.col("stage") == "after_clean", raw_total - F.col("total_rows"))
-    share = removed * F.lit(100.0) / F.greatest(raw_total, F.lit(1))
-    return before.unionByName(after).select(
-        "stage",
-        "total_rows",
-        removed.alias("rows_removed"),
-        round_half_up(share, 2).alias("pct_removed"),
-        *COUNTERS[1:],
+    nothing = F.lit(None)
+    return F.inline(
+        F.array(
+            row("before_clean", before, nothing, nothing),
+            row("after_clean", after, removed, share),
+        )
     )
 
 
+def report_from_counts(before: dict[str, int], after: DataFrame) -> DataFrame:
+    """Report from raw counters already known and a measured ``profile_dq`` row."""
+    known = {c: F.lit(before[c]).cast("bigint") for c in COUNTERS}
+    return after.select(_report_rows(known, {c: F.col(c) for c in COUNTERS}))
+
+
 def dq_report(raw: DataFrame) -> DataFrame:
-    """Before/after report, both rows measured.
+    """Before/after report, both rows measured, from one scan of the raw data.
 
-    Both sides read the same ``distinct_rows`` shuffle. The condition on the
-    copies keeps Catalyst from pushing the row filter below that shuffle, which
-    would make two different shuffles of the whole raw table out of it.
+    The distinct raw rows give the before counters; grouped by what is left of
+    them in the fact they give the after counters (rows that cleaning made equal
+    show up as duplicates). Rejected rows share one group, summed map-side.
     """
     rows = distinct_rows(_sale_columns(raw))
-    usable = ~_any_missing(rows, KEY_FIELDS) & _quantities_valid()
-    kept = rows.filter(F.when(F.col(COPIES) > 0, usable).otherwise(False)).drop(COPIES)
-    fact = enrich_sales(_drop_uncastable(cast_quantities(kept)))
-    return combine_report(
-        _profile(rows, "before_clean"), profile_dq(fact, "after_clean")
+    sale = {
+        "date": parse_date(F.col("date")),
+        "product_id": F.col("product_id"),
+        "product_name": F.col("product_name"),
+        "store_id": F.col("store_id"),
+        "warehouse_id": F.col("warehouse_id"),
+        "sales_quantity": F.col("sales_quantity").try_cast("int"),
+        "stock_quantity": F.col("stock_quantity").try_cast("int"),
+        "price": F.col("price"),
+    }
+    parsed = (sale[c].isNotNull() for c in ("date", "sales_quantity", "stock_quantity"))
+    kept = reduce(
+        lambda a, b: a & b, parsed, ~_any_missing(rows, KEY_FIELDS) & _quantities_valid()
+    )
+    before = _counters(rows, F.col(COPIES))
+    by_sale = rows.groupBy(
+        kept.alias("_kept"), *(F.when(kept, value).alias(name) for name, value in sale.items())
+    ).agg(F.count(F.lit(1)).alias("_sales"), *(c.alias(f"_raw_{n}") for n, c in before.items()))
+    after = _counters(by_sale, F.when(F.col("_kept"), F.col("_sales")))
+    totals = by_sale.agg(
+        *(F.coalesce(F.sum(f"_raw_{n}"), F.lit(0)).alias(f"_raw_{n}") for n in COUNTERS),
+        *_named(after),
+    )
+    return totals.select(
+        _report_rows({n: F.col(f"_raw_{n}") for n in COUNTERS}, {n: F.col(n) for n in COUNTERS})
     )
 
 
@@ -160,7 +193,7 @@ def clean_and_observe(raw: DataFrame) -> tuple[DataFrame, Observation]:
     """
     observation = Observation("before_clean")
     rows = distinct_rows(_sale_columns(raw))
-    watched = rows.observe(observation, *_counter_columns(rows))
+    watched = rows.observe(observation, *_named(_counters(rows, F.col(COPIES))))
     clean = (
         watched.transform(drop_missing)
         .transform(drop_negative)

@@ -102,31 +102,32 @@ def star_row_counts(star: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def _as_checks(one_row: DataFrame, table: str, check: str) -> DataFrame:
-    """One column per checked column -> one row each."""
+def _as_checks(one_row: DataFrame, table: str, checks: list[tuple[str, str]]) -> DataFrame:
+    """Violation counts, one column per (check, column), turned into one row each."""
     entries = F.array(
         *(
             F.struct(
                 F.lit(table).alias("table_name"),
                 F.lit(check).alias("check_type"),
-                F.lit(c).alias("column_name"),
-                F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("violations"),
+                F.lit(column).alias("column_name"),
+                F.coalesce(F.col(f"{check}:{column}"), F.lit(0)).cast("bigint").alias("violations"),
             )
-            for c in one_row.columns
+            for check, column in checks
         )
     )
     return one_row.select(F.inline(entries))
 
 
-def _unique_check(df: DataFrame, table: str, key: str) -> DataFrame:
-    surplus = df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("_surplus"))
-    return _as_checks(surplus.agg(F.sum("_surplus").alias(key)), table, "unique")
-
-
-def _not_null_check(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    return _as_checks(
-        df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)), table, "not_null"
-    )
+def _column_checks(df: DataFrame, table: str, key: str | None, required: list[str]) -> DataFrame:
+    """Unique key and required columns of one table, in one pass."""
+    checks = [("not_null", c) for c in required]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"not_null:{c}") for c in required]
+    if key is None:
+        return _as_checks(df.agg(*nulls), table, checks)
+    checks.insert(0, ("unique", key))
+    per_key = df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias(f"unique:{key}"), *nulls)
+    totals = per_key.agg(*(F.sum(f"{c}:{n}").alias(f"{c}:{n}") for c, n in checks))
+    return _as_checks(totals, table, checks)
 
 
 def _foreign_key_check(
@@ -148,43 +149,46 @@ def _foreign_key_check(
     known = reduce(
         DataFrame.unionByName,
         (
-            dim.select(F.lit(c).alias("_column"), F.col(PRIMARY_KEYS[FACT_KEYS[c]]).cast("bigint").alias("_value"))
+            dim.select(
+                F.lit(c).alias("_column"),
+                F.col(PRIMARY_KEYS[FACT_KEYS[c]]).cast("bigint").alias("_value"),
+            )
             for c, dim in references.items()
         ),
-    ).distinct()
-    orphans = used.join(known, ["_column", "_value"], "left_anti")
-    return _as_checks(
-        orphans.agg(
-            *(F.sum(F.when(F.col("_column") == c, F.col("_rows"))).alias(c) for c in references)
-        ),
-        table,
-        "foreign_key",
     )
+    orphans = used.join(known, ["_column", "_value"], "left_anti")
+    missing = [
+        F.sum(F.when(F.col("_column") == c, F.col("_rows"))).alias(f"foreign_key:{c}")
+        for c in references
+    ]
+    return _as_checks(orphans.agg(*missing), table, [("foreign_key", c) for c in references])
 
 
 def attribute_conflicts(fact: DataFrame, table: str, key: str, attributes: list[str]) -> DataFrame:
     """Number of keys that occur with more than one set of attributes."""
     sets = fact.select(key, *attributes).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_sets"))
-    return _as_checks(sets.agg(F.count_if(F.col("_sets") > 1).alias(key)), table, "conflict")
+    conflicts = sets.agg(F.count_if(F.col("_sets") > 1).alias(f"conflict:{key}"))
+    return _as_checks(conflicts, table, [("conflict", key)])
 
 
 def star_integrity(star: dict[str, DataFrame], fact: DataFrame | None = None) -> DataFrame:
     """The declared constraints as data: one row per check with its violations.
 
-    With ``fact`` (the frame the star was built from) also reports keys whose
-    attributes contradict each other, which the dimensions had to decide.
+    Meant for written star tables. With ``fact`` (the frame the star was built
+    from) also reports keys whose attributes contradict each other, which the
+    dimensions had to decide.
     """
-    checks = [_unique_check(star[t], t, k) for t, k in PRIMARY_KEYS.items()]
-    if "sale_id" in star["fact_sales"].columns:
-        checks.append(_unique_check(star["fact_sales"], "fact_sales", "sale_id"))
-    checks += [_not_null_check(star[t], t, cols) for t, cols in NOT_NULL.items()]
+    checks = [
+        _column_checks(star[t], t, key, NOT_NULL.get(t, [])) for t, key in PRIMARY_KEYS.items()
+    ]
+    sales = star["fact_sales"]
+    sale_key = "sale_id" if "sale_id" in sales.columns else None
+    checks.append(_column_checks(sales, "fact_sales", sale_key, NOT_NULL["fact_sales"]))
     checks.append(
         _foreign_key_check(star["dim_store"], "dim_store", {"warehouse_id": star["dim_warehouse"]})
     )
     checks.append(
-        _foreign_key_check(
-            star["fact_sales"], "fact_sales", {c: star[t] for c, t in FACT_KEYS.items()}
-        )
+        _foreign_key_check(sales, "fact_sales", {c: star[t] for c, t in FACT_KEYS.items()})
     )
     if fact is not None:
         checks.append(attribute_conflicts(fact, "dim_store", "store_id", ["warehouse_id"]))

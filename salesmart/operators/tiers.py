@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -15,6 +16,10 @@ from salesmart.operators.quality import fill_missing_features, require_columns
 from salesmart.schema import TIER_FEATURES, TIER_LABELS
 
 
+# Vectors per cached partition during the fit.
+ROWS_PER_PARTITION = 100_000
+
+
 def _scaled_name(feature: str) -> str:
     return f"{feature}_z"
 
@@ -38,37 +43,57 @@ def scale_features(df: DataFrame, features: Sequence[str] = TIER_FEATURES) -> Da
     return held.withColumns({_scaled_name(f): z_score(f) for f in features}).drop("_moments")
 
 
+def default_tolerance(k: int) -> float:
+    """Centre shift at which the k squared shifts add up to at most 1e-4."""
+    return math.sqrt(1e-4 / k)
+
+
 def fit_kmeans(
     vectors: DataFrame,
     k: int = 3,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
-    tol: float = 1e-6,
-    parallelism: int = 4,
+    tol: float | None = None,
+    parallelism: int = 10,
 ) -> KMeansModel:
-    """Best of several k-means fits by training cost (ties go to the smaller seed)."""
+    """Best of several k-means fits by training cost (ties go to the smaller seed).
+
+    The fits are many short jobs over the same cached vectors; submitting them
+    from several threads keeps the executors busy between iterations.
+    """
+    tolerance = default_tolerance(k) if tol is None else tol
 
     def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features").fit(vectors)
+        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance).fit(vectors)
 
     with ThreadPool(parallelism) as pool:
         models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), list(seeds))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
+def _packed(vectors: DataFrame) -> DataFrame:
+    """Cached vectors in partitions big enough to be worth a task per iteration."""
+    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    partitions = -(-cached.count() // ROWS_PER_PARTITION) or 1
+    packed = cached.coalesce(partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    packed.count()
+    cached.unpersist()
+    return packed
+
+
 def kmeans_clusters(
     df: DataFrame,
     features: Sequence[str] = TIER_FEATURES,
     k: int = 3,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
-    tol: float = 1e-6,
-    parallelism: int = 4,
+    tol: float | None = None,
+    parallelism: int = 10,
 ) -> DataFrame:
-    """Adds ``cluster``. Fits eagerly on the cached vectors; assignment stays lazy."""
+    """Adds ``cluster``. Fits eagerly on cached vectors; the assignment stays lazy."""
     scaled = scale_features(df, features)
     assembler = VectorAssembler(inputCols=[_scaled_name(f) for f in features], outputCol="features")
-    vectors = assembler.transform(scaled).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _packed(assembler.transform(scaled).select("features"))
     try:
         model = fit_kmeans(vectors, k, seeds, max_iter, tol, parallelism)
     finally:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.operators import quality, star, summaries, tiers
 from salesmart.operators.enrich import enrich_sales
+from salesmart.schema import SALE_COLUMNS
 from salesmart.sources.readers import read_sales
 from salesmart.sources.tables import write_report_json, write_table
 
@@ -32,14 +32,6 @@ class BatchResult:
     kpis: dict
 
 
-def _observed_profile(spark: SparkSession, observation: Observation) -> DataFrame:
-    counted = observation.get
-    return spark.range(1).select(
-        F.lit("before_clean").alias("stage"),
-        *(F.lit(counted[c]).cast("bigint").alias(c) for c in quality.COUNTERS),
-    )
-
-
 def run_pipeline(
     spark: SparkSession, raw: DataFrame | str, out_dir: str, file_format: str = "parquet"
 ) -> BatchResult:
@@ -54,7 +46,7 @@ def run_pipeline(
         raw = read_sales(spark, raw)
     clean, observation = quality.clean_and_observe(raw)
     fact = write_table(enrich_sales(clean), f"{out_dir}/clean_sales")
-    before = _observed_profile(spark, observation)
+    before = observation.get
 
     outputs = {"clean_sales": fact}
     for name, summarise in SUMMARIES.items():
@@ -63,14 +55,14 @@ def run_pipeline(
 
     kpis = write_table(summaries.kpi_snapshot(fact), f"{out_dir}/kpis")
     report = write_table(
-        quality.combine_report(before, quality.profile_dq(fact, "after_clean")),
+        quality.report_from_counts(before, quality.profile_dq(fact.select(*SALE_COLUMNS))),
         f"{out_dir}/dq_stages",
     )
     outputs["dq_report"] = write_report_json(report, kpis, f"{out_dir}/dq_report")
     outputs["dq_stages"], outputs["kpis"] = report, kpis
     headline = kpis.first().asDict()
     return BatchResult(
-        raw_rows=observation.get["total_rows"],
+        raw_rows=before["total_rows"],
         clean_rows=headline["transactions"],
         outputs=outputs,
         kpis=headline,

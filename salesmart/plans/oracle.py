@@ -172,6 +172,8 @@ def _integrity() -> str:
         for t, columns in NOT_NULL.items()
         for c in columns
     ]
+    # Sales are numbered, so every row has a sale_id of its own.
+    checks.append(check("fact_sales", "unique", "sale_id", "SELECT 0"))
     references = [("dim_store", "warehouse_id", "dim_warehouse")]
     references += [("fact_sales", c, d) for c, d in FACT_KEYS.items()]
     checks += [

@@ -154,18 +154,26 @@ def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- star, suite, runs -------------------------------------------------------
 
 
+def _written_fact(spark: SparkSession, sf_dir: str, purpose: str) -> tuple[DataFrame, str]:
+    """The fact as a table, for queries with many consumers of it."""
+    folder = scratch_dir(spark, purpose)
+    return write_table(_fact(spark, sf_dir), f"{folder}/fact"), folder
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.star_row_counts(star.build_star(_fact(spark, sf_dir)))
+    fact, _ = _written_fact(spark, sf_dir, "counts")
+    return star.star_row_counts(star.build_star(fact))
 
 
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = _fact(spark, sf_dir)
-    return star.star_integrity(star.build_star(fact), fact)
+    """Constraint checks over the loaded star tables."""
+    fact, folder = _written_fact(spark, sf_dir, "star")
+    tables = batch.load_star(fact, folder)
+    return star.star_integrity(tables, fact)
 
 
 def query_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_dir(spark, "suite")
-    fact = write_table(_fact(spark, sf_dir), f"{folder}/fact")
+    fact, folder = _written_fact(spark, sf_dir, "suite")
     clusters = fixed_tiers(summaries.product_features(fact))
     sqlsuite.register_views(star.build_star(fact) | {"product_clusters": clusters})
     return sqlsuite.run_query_suite(spark, f"{folder}/results")
@@ -220,7 +228,7 @@ def kpi_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = _fact(spark, sf_dir)
+    fact, _ = _written_fact(spark, sf_dir, "headline")
     monthly = fact.groupBy("year", "month").agg(
         F.sum("sales_quantity").alias("units"),
         summaries.sum_money(F.col("revenue")).alias("revenue"),

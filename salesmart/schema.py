@@ -57,6 +57,9 @@ FACT_SCHEMA = T.StructType(
 
 FACT_COLUMNS = FACT_SCHEMA.fieldNames()
 
+# What identifies a clean sale; the other fact columns are computed from these.
+SALE_COLUMNS = [*KEY_FIELDS, "product_name"]
+
 # Inputs of the demand-tier model.
 TIER_FEATURES = [
     "total_sales",
