@@ -143,24 +143,31 @@ def top_products(fact: DataFrame, n: int = 20) -> DataFrame:
         F.sum("sales_quantity").alias("units_sold"),
         sum_cents(F.col("revenue")).alias("_cents"),
     )
-    total = by_product.agg(F.sum("_cents").alias("total")).scalar()
     # Zero or no revenue divides by one, so shares come out as zero.
-    base = from_cents(F.coalesce(F.nullif(total, F.lit(0)), F.lit(100)))
+    everything = F.sum("_cents")
+    base = by_product.agg(
+        from_cents(F.when(everything != 0, everything).otherwise(100)).alias("base")
+    ).scalar()
     order = [F.desc("_cents"), F.asc("product_id"), F.asc("product_name")]
     ranked = Window.orderBy(*order)
-    running = from_cents(F.sum("_cents").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    revenue = from_cents(F.col("_cents"))
+    running = F.sum("_cents").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+
+    def share(amount: Column) -> Column:
+        return round_half_up(from_cents(amount) * 100.0 / F.col("_base"), 2)
+
     return (
         by_product.orderBy(*order)
         .limit(n)
+        .withColumns({"rank": F.row_number().over(ranked), "_running": running})
+        .withColumn("_base", base)
         .select(
             "product_id",
             "product_name",
             "units_sold",
-            revenue.alias("revenue"),
-            F.row_number().over(ranked).alias("rank"),
-            round_half_up(revenue * 100.0 / base, 2).alias("revenue_share_pct"),
-            round_half_up(running * 100.0 / base, 2).alias("cumulative_share_pct"),
+            from_cents(F.col("_cents")).alias("revenue"),
+            "rank",
+            share(F.col("_cents")).alias("revenue_share_pct"),
+            share(F.col("_running")).alias("cumulative_share_pct"),
         )
     )
 
