@@ -144,8 +144,8 @@ def top_products(fact: DataFrame, n: int = 20) -> DataFrame:
         sum_cents(F.col("revenue")).alias("_cents"),
     )
     # Zero or no revenue divides by one, so shares come out as zero.
-    everything = F.sum("_cents")
-    base = by_product.agg(
+    everything = sum_cents(F.col("revenue"))
+    base = fact.agg(
         from_cents(F.when(everything != 0, everything).otherwise(100)).alias("base")
     ).scalar()
     order = [F.desc("_cents"), F.asc("product_id"), F.asc("product_name")]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from multiprocessing.pool import ThreadPool
+from functools import partial
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from salesmart.operators.quality import fill_missing_features, require_columns
 from salesmart.schema import TIER_FEATURES, TIER_LABELS
+from salesmart.session import concurrently
 
 
 # Vectors per cached partition during the fit.
@@ -66,9 +67,9 @@ def fit_kmeans(
     def fit(seed: int) -> KMeansModel:
         return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance).fit(vectors)
 
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), list(seeds))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    fits = {str(seed): partial(fit, seed) for seed in seeds}
+    models = concurrently(vectors.sparkSession, fits, parallelism)
+    return min(models.values(), key=lambda m: m.summary.trainingCost)
 
 
 def _packed(vectors: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.operators import quality, star, summaries, tiers
 from salesmart.operators.enrich import enrich_sales
 from salesmart.schema import SALE_COLUMNS
+from salesmart.session import concurrently
 from salesmart.sources.readers import read_sales
 from salesmart.sources.tables import write_report_json, write_table
 
@@ -32,6 +34,10 @@ class BatchResult:
     kpis: dict
 
 
+def _write_summary(name: str, fact: DataFrame, path: str, file_format: str) -> DataFrame:
+    return write_table(summaries.in_report_order(SUMMARIES[name](fact), name), path, file_format)
+
+
 def run_pipeline(
     spark: SparkSession, raw: DataFrame | str, out_dir: str, file_format: str = "parquet"
 ) -> BatchResult:
@@ -48,18 +54,18 @@ def run_pipeline(
     fact = write_table(enrich_sales(clean), f"{out_dir}/clean_sales")
     before = observation.get
 
-    outputs = {"clean_sales": fact}
-    for name, summarise in SUMMARIES.items():
-        report = summaries.in_report_order(summarise(fact), name)
-        outputs[name] = write_table(report, f"{out_dir}/{name}", file_format)
-
-    kpis = write_table(summaries.kpi_snapshot(fact), f"{out_dir}/kpis")
-    report = write_table(
-        quality.report_from_counts(before, quality.profile_dq(fact.select(*SALE_COLUMNS))),
-        f"{out_dir}/dq_stages",
+    jobs = {
+        name: partial(_write_summary, name, fact, f"{out_dir}/{name}", file_format)
+        for name in SUMMARIES
+    }
+    jobs["kpis"] = partial(write_table, summaries.kpi_snapshot(fact), f"{out_dir}/kpis")
+    after = quality.profile_dq(fact.select(*SALE_COLUMNS))
+    jobs["dq_stages"] = partial(
+        write_table, quality.report_from_counts(before, after), f"{out_dir}/dq_stages"
     )
-    outputs["dq_report"] = write_report_json(report, kpis, f"{out_dir}/dq_report")
-    outputs["dq_stages"], outputs["kpis"] = report, kpis
+    outputs = {"clean_sales": fact} | concurrently(spark, jobs)
+    kpis = outputs["kpis"]
+    outputs["dq_report"] = write_report_json(outputs["dq_stages"], kpis, f"{out_dir}/dq_report")
     headline = kpis.first().asDict()
     return BatchResult(
         raw_rows=before["total_rows"],
@@ -71,10 +77,11 @@ def run_pipeline(
 
 def load_star(fact: DataFrame, out_dir: str) -> dict[str, DataFrame]:
     """Writes the star schema tables."""
-    return {
-        name: write_table(df, f"{out_dir}/{name}")
-        for name, df in star.build_star(fact, with_sale_id=True).items()
+    tables = star.build_star(fact, with_sale_id=True)
+    jobs = {
+        name: partial(write_table, df, f"{out_dir}/{name}") for name, df in tables.items()
     }
+    return concurrently(fact.sparkSession, jobs)
 
 
 def run_full(

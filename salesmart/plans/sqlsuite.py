@@ -8,13 +8,13 @@ whole cents and is exact. Every LIMIT has a total order.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.session import concurrently
 from salesmart.sources.tables import write_table
 
 CENTS = "SUM(CAST(rint(revenue * 100) AS BIGINT))"
@@ -120,11 +120,9 @@ def run_query_suite(
     A failing query is reported with its error and does not stop the others.
     Returns (query, status, row_count, error).
     """
-    outcomes = [
-        _run_one(spark, name, text, f"{out_dir}/{name}")
-        for name, text in (QUERIES if queries is None else queries).items()
-    ]
-    return reduce(DataFrame.unionByName, _nonempty(spark, outcomes))
+    texts = QUERIES if queries is None else queries
+    jobs = {q: partial(_run_one, spark, q, text, f"{out_dir}/{q}") for q, text in texts.items()}
+    return reduce(DataFrame.unionByName, concurrently(spark, jobs).values())
 
 
 def _run_one(spark: SparkSession, name: str, text: str, path: str) -> DataFrame:
@@ -144,9 +142,3 @@ def _outcome(df: DataFrame, name: str, status: str, rows, error) -> DataFrame:
         rows.cast("bigint").alias("row_count"),
         error.cast("string").alias("error"),
     )
-
-
-def _nonempty(spark: SparkSession, outcomes: Iterable[DataFrame]) -> list[DataFrame]:
-    return list(outcomes) or [
-        spark.createDataFrame([], "query string, status string, row_count bigint, error string")
-    ]

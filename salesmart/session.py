@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 MIB = 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+T = TypeVar("T")
 
 
 def shuffle_settings(input_bytes: int, partition_bytes: int = 256 * MIB) -> dict[str, str]:
-    """Settings that size shuffles to the input.
+    """Settings that size scans and shuffles to the input.
 
     The distinct over all raw columns moves every usable row once, so its
     partition count has to follow the input. AQE merges what turns out small and
-    splits skewed join partitions, but it cannot split an aggregate's partitions;
-    the initial number therefore errs on the high side.
+    splits skewed join partitions, but cannot split an aggregate's partitions;
+    the initial number therefore errs on the high side. Beyond the cap, scan
+    splits grow instead: maps times reducers is what a shuffle has to track.
     """
-    partitions = max(8, -(-input_bytes // partition_bytes))
+    wanted = max(8, -(-input_bytes // partition_bytes))
+    partitions = min(wanted, MAX_SHUFFLE_PARTITIONS)
+    split = partition_bytes if wanted == partitions else max(partition_bytes, 1024 * MIB)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split),
     }
 
 
@@ -32,6 +43,18 @@ def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSessio
     return spark
 
 
+def concurrently(
+    spark: SparkSession, jobs: dict[str, Callable[[], T]], parallelism: int = 4
+) -> dict[str, T]:
+    """Results of independent Spark jobs submitted from a few threads.
+
+    The tail of one job then overlaps the next; the first error is raised.
+    """
+    run = inheritable_thread_target(spark)(lambda job: job())
+    with ThreadPool(min(parallelism, max(1, len(jobs)))) as pool:
+        return dict(zip(jobs, pool.map(run, jobs.values(), chunksize=1)))
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark."""
     spark = (

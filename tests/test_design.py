@@ -52,5 +52,7 @@ def test_sql_top_k_needs_no_global_sort(spark, name):
 
 def test_shuffle_settings_follow_the_input():
     hundred_tb = shuffle_settings(100 * 2**40)
-    assert int(hundred_tb["spark.sql.shuffle.partitions"]) == 409600
+    assert int(hundred_tb["spark.sql.shuffle.partitions"]) == 50_000
+    assert int(hundred_tb["spark.sql.files.maxPartitionBytes"]) == 2**30
+    assert int(shuffle_settings(2**40)["spark.sql.shuffle.partitions"]) == 4096
     assert int(shuffle_settings(1)["spark.sql.shuffle.partitions"]) == 8
