@@ -39,6 +39,14 @@ def test_written_summaries_agree(run):
     assert result.outputs["units_by_warehouse"].groupBy().sum("units_sold_mr").first()[0] == units
 
 
+def test_csv_outputs(spark, raw_of, tmp_path):
+    raw = raw_of({}, {"product_id": 2, "sales_quantity": 5.0}, {"stock_quantity": -5.0})
+    result = batch.run_pipeline(spark, raw, str(tmp_path), file_format="csv")
+    header = spark.read.text(f"{tmp_path}/store_summary/*.csv").first().value
+    assert header == "store_id,warehouse_id,units_sold,revenue,avg_stock,txn_count"
+    assert result.outputs["store_summary"].first().units_sold == 7
+
+
 def test_missing_input_fails(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         batch.run_pipeline(spark, str(tmp_path / "absent"), str(tmp_path / "out"))
