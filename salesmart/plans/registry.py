@@ -205,6 +205,20 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _written_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product features as a table: the fits, the assignment and the labels all read them."""
+    return write_table(_features(spark, sf_dir), scratch_dir(spark, "features") + "/products")
+
+
+def kmeans_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = tiers.kmeans_clusters(_written_features(spark, sf_dir))
+    return clustered.select("product_id", *TIER_FEATURES, "cluster")
+
+
+def kmeans_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.demand_tiers(_written_features(spark, sf_dir))
+
+
 def fixed_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelling step on given clusters."""
     clustered = _tiered(spark, sf_dir).drop("demand_level")
@@ -279,10 +293,8 @@ def queries() -> dict[str, Query]:
         "kpi_snapshot": _on_fact(summaries.kpi_snapshot),
         "run_query_suite": query_suite,
         "scale_features": scaled,
-        "kmeans_clusters": lambda s, d: tiers.kmeans_clusters(_features(s, d)).select(
-            "product_id", *TIER_FEATURES, "cluster"
-        ),
-        "demand_tiers": lambda s, d: tiers.demand_tiers(_features(s, d)),
+        "kmeans_clusters": kmeans_assignment,
+        "demand_tiers": kmeans_tiers,
         "demand_tier_labels": fixed_cluster_labels,
         "tier_sizes": _on_tiers(tiers.tier_sizes),
         "tier_scatter": _on_tiers(tiers.tier_scatter),
