@@ -3,11 +3,14 @@
 All measures are sums of integers (units, stock, cents, rows), so they combine
 map-side and merge exactly. Distinct counts are exact: Spark expands the row once
 per counted column and collapses each (key, value) pair map-side, so a hot key
-leaves a task as its distinct values, never as its rows.
+leaves a task as its distinct values, never as its rows. Pass
+``distinct=F.approx_count_distinct`` to trade exactness for a smaller shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +24,8 @@ from salesmart.functions.numeric import (
     sum_money,
 )
 
+Counter = Callable[[str], Column]
+
 # Row order in which a finished report is written. Operators do not sort.
 REPORT_ORDER = {
     "units_by_warehouse": [("warehouse_id", "asc")],
@@ -55,12 +60,12 @@ def units_by_warehouse(fact: DataFrame) -> DataFrame:
     return fact.groupBy("warehouse_id").agg(F.sum("sales_quantity").alias("units_sold_mr"))
 
 
-def warehouse_summary(fact: DataFrame) -> DataFrame:
+def warehouse_summary(fact: DataFrame, distinct: Counter = F.count_distinct) -> DataFrame:
     """Units, revenue, stock cover and stock risk per warehouse."""
     per_warehouse = fact.groupBy("warehouse_id").agg(
         *_measures(),
-        F.countDistinct("product_id").alias("products"),
-        F.countDistinct("store_id").alias("stores"),
+        distinct("product_id").alias("products"),
+        distinct("store_id").alias("stores"),
     )
     cover = ratio_with_floor(F.col("avg_stock"), F.col("units_sold") / F.lit(1000.0), 0.01)
     return stock_risk_bands(
@@ -93,7 +98,7 @@ def store_summary(fact: DataFrame) -> DataFrame:
     return fact.groupBy("store_id", "warehouse_id").agg(*_measures())
 
 
-def product_features(fact: DataFrame) -> DataFrame:
+def product_features(fact: DataFrame, distinct: Counter = F.count_distinct) -> DataFrame:
     """Demand and stock features per product.
 
     Daily sales divide by the days on which the product sold; volatility is the
@@ -107,8 +112,8 @@ def product_features(fact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"),
         sum_money(F.col("revenue")).alias("revenue"),
         round_half_up(F.avg("price"), 2).alias("avg_price"),
-        F.countDistinct("date").alias("_days"),
-        F.countDistinct("store_id").alias("store_count"),
+        distinct("date").alias("_days"),
+        distinct("store_id").alias("store_count"),
     )
     rows = F.col("_rows")
     return grouped.select(
@@ -172,16 +177,16 @@ def top_products(fact: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def kpi_snapshot(fact: DataFrame) -> DataFrame:
+def kpi_snapshot(fact: DataFrame, distinct: Counter = F.count_distinct) -> DataFrame:
     """One row of headline figures; sums are 0 and dates null without input."""
     zero = F.lit(0)
     return fact.agg(
         F.count(F.lit(1)).alias("transactions"),
         F.coalesce(F.sum("sales_quantity"), zero).cast("bigint").alias("total_units"),
         from_cents(F.coalesce(sum_cents(F.col("revenue")), zero)).alias("total_revenue"),
-        F.countDistinct("product_id").alias("products"),
-        F.countDistinct("store_id").alias("stores"),
-        F.countDistinct("warehouse_id").alias("warehouses"),
+        distinct("product_id").alias("products"),
+        distinct("store_id").alias("stores"),
+        distinct("warehouse_id").alias("warehouses"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
     )

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,22 @@ def test_scratch_is_fresh_and_follows_the_shared_setting(spark):
         assert one.startswith(shared)
 
 
+class _Session:
+    """Just the settings a session would have."""
+
+    def __init__(self, **settings):
+        named = {k.replace("_", "."): v for k, v in settings.items()}
+        self.conf = type("Conf", (), {"get": staticmethod(lambda k, default=None: named.get(k, default))})
+
+
+def test_scratch_without_the_shared_setting():
+    assert os.path.isdir(tables.scratch_dir(_Session(spark_master="local[8]"), "x"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.scratch_dir(_Session(spark_master="yarn"), "x")
+    shared = _Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///shared/")
+    assert tables.scratch_dir(shared, "x").startswith("hdfs:///shared/salesmart/x-")
+
+
 def test_write_table_returns_what_was_written(spark, tmp_path):
     df = spark.range(4).select("id", F.lit("a,b\"c").alias("text"))
     for file_format in ("parquet", "csv", "json"):

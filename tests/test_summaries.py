@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from salesmart.operators import summaries
 
 
@@ -45,6 +47,13 @@ def test_product_features(fact_of):
     assert row.stock_to_sales_ratio == 8.89
 
 
+def test_distinct_counts_can_be_approximate(fact_of):
+    fact = fact_of(*({"product_id": i, "store_id": i % 4} for i in range(12)))
+    exact = summaries.kpi_snapshot(fact).first()
+    rough = summaries.kpi_snapshot(fact, distinct=F.approx_count_distinct).first()
+    assert (exact.products, exact.stores) == (12, 4) == (rough.products, rough.stores)
+
+
 def test_totals_agree_across_summaries(fact_of):
     fact = fact_of(
         *(
