@@ -313,7 +313,7 @@ BODIES = {
     "q3_monthly_trend": "SELECT year, month, units, revenue FROM monthly",
     "q4_stockout_risk": f"""SELECT product_id, demand_level, {_round("avg_daily_sales", 1)} AS avg_daily,
           {_round("avg_stock", 1)} AS avg_stock
-        FROM product_clusters c WHERE c.avg_stock < 2 * c.avg_daily_sales""",
+        FROM product_clusters WHERE product_clusters.avg_stock < 2 * avg_daily_sales""",
     "q5_tier_rollup": f"""SELECT demand_level, COUNT(*) AS products,
           {_round("AVG(avg_daily_sales)", 2)} AS avg_daily_sales, {_money()} AS total_revenue
         FROM product_clusters GROUP BY demand_level""",

@@ -14,11 +14,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.schema import TIER_LABELS
 from salesmart.session import concurrently
 from salesmart.sources.tables import write_table
 
 CENTS = "SUM(CAST(rint(revenue * 100) AS BIGINT))"
-TIER_ORDER = "CASE demand_level WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 ELSE 4 END"
+TIER_ORDER = f"array_position(array{tuple(TIER_LABELS)}, demand_level)"
 
 
 def _round(expression: str, digits: int) -> str:
@@ -55,9 +56,9 @@ QUERIES = {
         SELECT product_id, demand_level,
                {_round("avg_daily_sales", 1)} AS avg_daily,
                {_round("avg_stock", 1)} AS avg_stock
-        FROM product_clusters c
-        WHERE c.avg_stock < 2 * c.avg_daily_sales
-        ORDER BY c.avg_daily_sales DESC, product_id""",
+        FROM product_clusters
+        WHERE avg_stock < 2 * avg_daily_sales
+        ORDER BY avg_daily_sales DESC, product_id""",
     "q5_tier_rollup": f"""
         SELECT demand_level, COUNT(*) AS products,
                {_round("AVG(avg_daily_sales)", 2)} AS avg_daily_sales,
