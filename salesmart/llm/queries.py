@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import interleave, merge_automaton, phrase_fingerprint, residual_packing, token_index
+from salesmart.llm import chat_windows, interleave, merge_automaton, phrase_fingerprint, residual_packing, token_index
 from salesmart.llm.shared import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.read_documents(manifest)
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").selectExpr("conv_id", "cast(turn as bigint) as turn", "role", "text")
+    forged = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], given.schema)
+    return chat_windows.conversation_digests(chat_windows.chat_windows(given.unionByName(planted)))
+
+
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the shards' row counts differ by one at most."""
     dealt = interleave.interleave(_table(spark, sf_dir, "documents"), shared_folder(spark, "op7"))
@@ -50,6 +57,7 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_index": op1_token_index,
+        "op2_chat_windows": op2_chat_windows,
         "op7_interleave": op7_interleave,
         "op8_merge_automaton": op8_merge_automaton,
         "op9_residual_packing": op9_residual_packing,
