@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.llm.segments import SegmentMemo
+from salesmart.llm.shared import with_fields
 from salesmart.llm.tokens import byte_symbols, id_type, uncut
 
 #: Fixed value: the split pattern of byte-level BPE files.
@@ -216,7 +217,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", ids: str =
     A column of the new one's name is replaced, whatever its case; all others pass.
     """
     kept = [c for c in docs.columns if c.lower() != ids.lower()]
-    out = docs.select(*kept).schema.add(ids, "array<int>")
+    rows = docs.select(*kept)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = automaton_tokenizer(tokenizer)
@@ -225,13 +226,13 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", ids: str =
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
 
-    return docs.select(*kept).mapInArrow(encode, out)
+    return rows.mapInArrow(encode, with_fields(rows, f"`{ids}` array<int>"))
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the ids spell; null ids give an empty text."""
     kept = [c for c in encoded.columns if c.lower() != text.lower()]
-    out = encoded.select(*kept).schema.add(text, "string")
+    rows = encoded.select(*kept)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = automaton_tokenizer(tokenizer)
@@ -241,7 +242,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str =
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text]
             )
 
-    return encoded.select(*kept).mapInArrow(decode, out)
+    return rows.mapInArrow(decode, with_fields(rows, f"`{text}` string"))
 
 
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.llm.segments import mix, seeds
+from salesmart.llm.shared import with_fields
 
 MINIMA = 64
 #: Phrases hashed at once; bounds the memory for long texts.
@@ -127,7 +128,7 @@ def printed(minima_: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of each whole text; a column of that name is replaced."""
     kept = [c for c in docs.columns if c.lower() != into.lower()]
-    out = docs.select(*kept).schema.add(into, "string")
+    rows = docs.select(*kept)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +137,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint")
                 [*batch.columns, pa.array(values, pa.string())], names=[*batch.schema.names, into]
             )
 
-    return docs.select(*kept).mapInArrow(add, out)
+    return rows.mapInArrow(add, with_fields(rows, f"`{into}` string"))
 
 
 NEXT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

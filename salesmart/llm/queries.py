@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from salesmart.llm import chat_windows, interleave, merge_automaton, phrase_fingerprint, residual_packing, token_index
+from pyspark.sql import functions as F
+
+from salesmart.llm import (
+    chat_windows,
+    interleave,
+    language_filters,
+    lsh_forest,
+    merge_automaton,
+    multi_index,
+    phrase_fingerprint,
+    residual_packing,
+    token_index,
+)
 from salesmart.llm.shared import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +43,21 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.conversation_digests(chat_windows.chat_windows(given.unionByName(planted)))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, F.col("vec_id") % 50 == 0, shared_folder(spark, "op4"))
+
+
+def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", language_filters.held_out(F.col("doc_id")).alias("held_out"))
+    return language_filters.identify(rows, language_filters.fit(docs)).drop("text")
+
+
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"), shared_folder(spark, "op6"))
+
+
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the shards' row counts differ by one at most."""
     dealt = interleave.interleave(_table(spark, sf_dir, "documents"), shared_folder(spark, "op7"))
@@ -58,6 +84,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_index": op1_token_index,
         "op2_chat_windows": op2_chat_windows,
+        "op4_multi_index": op4_multi_index,
+        "op5_language_filters": op5_language_filters,
+        "op6_lsh_forest": op6_lsh_forest,
         "op7_interleave": op7_interleave,
         "op8_merge_automaton": op8_merge_automaton,
         "op9_residual_packing": op9_residual_packing,

@@ -7,6 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -27,6 +28,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and more fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def file_system(uri: str):
     """The Arrow file system and path of ``uri``; a path without a scheme is a local one."""
     from pyarrow import fs
