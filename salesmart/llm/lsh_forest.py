@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +58,11 @@ INK[BLANKS] = False
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; empty for null and for no words."""
+    upto = np.cumsum(pc.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(column):
-        to = at + 1
-        size = len(column[at].as_py() or "")
-        while to < len(column) and size < TEXT_AT_ONCE:
-            size += len(column[to].as_py() or "")
-            to += 1
+        limit = TEXT_AT_ONCE + (upto[at - 1] if at else 0)
+        to = max(at + 1, int(np.searchsorted(upto, limit, "right")))
         yield from _shingles(column.slice(at, to - at))
         at = to
 

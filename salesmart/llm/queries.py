@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from salesmart.llm import (
     phrase_fingerprint,
     residual_packing,
     token_index,
+    toxicity_chain,
 )
 from salesmart.llm.shared import shared_folder, written
 
@@ -43,6 +45,14 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.conversation_digests(chat_windows.chat_windows(given.unionByName(planted)))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the probabilities of the chain and its verdict."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    chain = toxicity_chain.fit(docs, labels, corpus_pipeline.CATEGORIES, shared_folder(spark, "op3"))
+    return chain.predict(docs).drop("text").withColumn("toxic", toxicity_chain.toxic())
+
+
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return multi_index.nearest(vectors, F.col("vec_id") % 50 == 0, shared_folder(spark, "op4"))
@@ -84,6 +94,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_index": op1_token_index,
         "op2_chat_windows": op2_chat_windows,
+        "op3_toxicity_chain": op3_toxicity_chain,
         "op4_multi_index": op4_multi_index,
         "op5_language_filters": op5_language_filters,
         "op6_lsh_forest": op6_lsh_forest,
@@ -91,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op8_merge_automaton": op8_merge_automaton,
         "op9_residual_packing": op9_residual_packing,
         "op10_phrase_fingerprint": op10_phrase_fingerprint,
+        "pipeline": corpus_pipeline.run,
     }
 
 
