@@ -9,7 +9,7 @@ neighbours with the longest common prefix where a region was cut, classes are
 candidates.
 
 Candidates whose sketches agree too little for the similarity asked for are left
-out, at odds below 1e-5 for a true link. Of the others each region first gives a
+out, at odds of about 1e-6 for a true link. Of the others each task first gives a
 spanning forest, whose links are confirmed on the full sets; then every candidate
 pair that still lies in different components is confirmed too. What remains
 unlinked has been compared.
@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -94,6 +93,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(low).astype(">u2")
 
 
+PAIRS = "a bigint, b bigint"
 SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, sketch binary"
 
 
@@ -114,50 +114,54 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def regions(keys: np.ndarray, lo: int, hi: int, depth: int = 0) -> Iterator[tuple[int, int]]:
-    """Ranges of sorted rows that are compared among themselves.
+def reaches(keys: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """For each sorted row, the place after the last row that it is compared with.
 
-    A region with more than LEAF rows is cut at the next depth, and each cut's
-    neighbours are compared as well. Where no depth is left, runs of LEAF rows
-    overlap by half, which keeps equal sequences in one chain.
+    A region of at most LEAF rows is compared within itself; a larger one is cut
+    at the next depth, and where no depth is left, each row is compared with the
+    LEAF rows after it. Neighbours in a tree are compared in any case.
     """
-    if hi - lo < 2:
-        return
-    if hi - lo <= LEAF:
-        yield lo, hi
-    elif depth == keys.shape[1]:
-        for at in range(lo, hi - LEAF // 2, LEAF // 2):
-            yield at, min(hi, at + LEAF)
-    else:
-        cuts = np.flatnonzero(keys[lo + 1 : hi, depth] != keys[lo : hi - 1, depth]) + lo + 1
-        edges = [lo, *cuts.tolist(), hi]
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield from regions(keys, a, b, depth + 1)
-        for cut in cuts.tolist():
-            yield cut - 1, cut + 1
-
-
-def agreeing(sketch: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = len(keys)
+    same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(axis=1)
+    prefix = np.concatenate([[-1], np.where(tree[1:] == tree[:-1], same, -1)])  # shared with the row before
+    reach = np.zeros(rows, np.int64)
+    for depth in range(keys.shape[1] + 1):
+        starts = np.flatnonzero(prefix < depth)
+        sizes = np.diff(np.append(starts, rows))
+        end, size = np.repeat(starts + sizes, sizes), np.repeat(sizes, sizes)
+        reach = np.where((reach == 0) & (size <= LEAF), end, reach)
+    reach = np.where(reach == 0, np.minimum(end, np.arange(rows) + LEAF + 1), reach)
+    beside = np.append(prefix[1:] >= 0, False)
+    return np.where(beside, np.maximum(reach, np.arange(rows) + 2), reach)
+
+
+def agreeing(sketch: np.ndarray, size: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows whose sketches and sizes allow a link, with how many bytes agree."""
-    agree = np.zeros((len(sketch), len(sketch)), np.uint8)
-    for byte in sketch.T:
-        agree += byte[:, None] == byte[None, :]
-    allowed = (agree >= AGREE) & (100 * np.minimum(size[:, None], size) >= 80 * np.maximum(size[:, None], size))
-    a, b = np.nonzero(np.triu(allowed, 1))
-    return a, b, agree[a, b]
-
-
-def forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray, count: int) -> Iterator[tuple[int, int]]:
+    rows = np.arange(len(sketch))
+    step = 1
+    while len(rows := rows[reach[rows] > rows + step]):
+        for at in range(0, len(rows), 1 << 16):
+            a = rows[at : at + (1 << 16)]
+            b = a + step
+            fits = 100 * np.minimum(size[a], size[b]) >= 80 * np.maximum(size[a], size[b])
+            a, b = a[fits], b[fits]
+            agree = (sketch[a] == sketch[b]).sum(axis=1)
+            close = agree >= AGREE
+            if close.any():
+                yield a[close], b[close], agree[close]
+        step += 1
+
+
+def forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs, most agreeing first."""
-    root = list(range(count))
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
         return x
 
-    order = np.argsort(-agree.astype(np.int16), kind="stable")
+    order = np.argsort(-agree, kind="stable")
     for x, y in zip(a[order].tolist(), b[order].tolist()):
         p, q = find(x), find(y)
         if p != q:
@@ -165,53 +169,35 @@ def forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray, count: int) -> Itera
             yield x, y
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """Table, keys, sketches, sizes and bounds of each region of a sorted partition."""
+def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+    """Distinct candidate pairs of a sorted partition: a forest of them, or those across components."""
     own = [b for b in batches if b.num_rows]
     if not own:
         return
     table = pa.Table.from_batches(own).combine_chunks()
-    column = lambda c: table.column(c).to_pylist()
-    keys = np.frombuffer(b"".join(column("key")), ">u2").reshape(-1, DEPTH)
-    sketch = np.frombuffer(b"".join(column("sketch")), np.uint8).reshape(-1, SKETCH)
-    tree, size = table.column("tree").to_numpy(), table.column("n_shingles").to_numpy()
-    turns = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
-    for lo, hi in zip(turns[:-1], turns[1:]):
-        for a, b in regions(keys, lo, hi):
-            yield table, keys, sketch, size, a, b
-
-
-def _forest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: set[tuple[int, int]] = set()
-    for table, _, sketch, size, lo, hi in _partition(batches):
-        a, b, agree = agreeing(sketch[lo:hi], size[lo:hi])
-        if len(a):
-            rep = table.column("rep").to_numpy()[lo:hi]
-            found.update((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))) for x, y in forest(a, b, agree, hi - lo))
-    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u2").reshape(-1, DEPTH)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    size, rep = table.column("n_shingles").to_numpy(), table.column("rep").to_numpy()
+    part = table.column("component").to_numpy() if across else None
+    found: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+    for a, b, agree in agreeing(sketch, size, reaches(keys, table.column("tree").to_numpy())):
+        if across:
+            apart = part[a] != part[b]
+            a, b, agree = a[apart], b[apart], agree[apart]
+        found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), agree]))
+    pairs = np.unique(np.concatenate(found, axis=1).T, axis=0)
+    if not across:
+        pairs = np.array(list(forest(*pairs.T)), np.int64)
+    pairs = pairs.reshape(-1, 3 if across else 2)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-ACROSS = "region string, rep bigint, component bigint, n_shingles bigint, sketch binary"
+def _forest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _candidates(batches, across=False)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions with candidates in different components: their members of such pairs."""
-    for table, keys, sketch, size, lo, hi in _partition(batches):
-        part = table.column("component").to_numpy()[lo:hi]
-        if (part == part[0]).all():
-            continue
-        a, b, _ = agreeing(sketch[lo:hi], size[lo:hi])
-        apart = part[a] != part[b]
-        if apart.any():
-            rows = np.unique(np.concatenate([a[apart], b[apart]]))
-            some = table.slice(lo, hi - lo).take(pa.array(rows))
-            rep = some.column("rep").to_numpy()
-            name = f"{some.column('tree')[0].as_py()}-{rep.min()}-{keys[lo].tobytes().hex()}-{hi - lo}"
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(rows)), *(some.column(c).combine_chunks() for c in ("rep", "component", "n_shingles", "sketch"))],
-                names=["region", "rep", "component", "n_shingles", "sketch"],
-            )
+def _pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _candidates(batches, across=True)
 
 
 def similar(one: np.ndarray, other: np.ndarray) -> bool:
@@ -230,27 +216,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept
 
 
-def _confirmed_across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between components in one region; a pair that earlier links have joined is left out."""
-    sets = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
-    sketch = np.stack([np.frombuffer(s, np.uint8) for s in rows["sketch"]])
-    rep, root = rows["rep"].to_numpy(), dict.fromkeys(rows["component"].tolist())
-
-    def find(x):
-        while root[x] is not None:
-            x = root[x]
-        return x
-
-    out = []
-    a, b, agree = agreeing(sketch, rows["n_shingles"].to_numpy())
-    part = rows["component"].tolist()
-    order = np.argsort(-agree.astype(np.int16), kind="stable")
-    for x, y in zip(a[order].tolist(), b[order].tolist()):
-        p, q = find(part[x]), find(part[y])
-        if p != q and similar(sets[x], sets[y]):
-            root[q] = p
-            out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar; one set of a pair travels to the other."""
+    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
+    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, PAIRS)
 
 
 def _trees(reps: DataFrame, *more: str) -> DataFrame:
@@ -311,21 +281,18 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, key: str = "doc_
     )
     reps = written(reps, f"{folder}/classes")
 
-    pairs = written(_trees(reps).mapInArrow(_forest_pairs, "a bigint, b bigint").distinct(), f"{folder}/pairs")
+    pairs = written(_trees(reps).mapInArrow(_forest_pairs, PAIRS).distinct(), f"{folder}/pairs")
     active = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = _sets_of(rows, active, f"{folder}/sets")
-    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    links = written(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a bigint, b bigint"), f"{folder}/links")
+    links = written(_linked(pairs, sets), f"{folder}/links")
     parts = written(components(links, f"{folder}/first"), f"{folder}/first-parts")
 
     # Only classes of some candidate pair can have one across components.
     among = reps.join(active, "rep", "left_semi").join(parts, F.col("rep") == F.col("node"), "left")
     among = among.withColumn("component", F.coalesce("component", "rep"))
-    across = written(_trees(among, "component").mapInArrow(_across, ACROSS), f"{folder}/across")
-    more = across.join(sets, "rep").groupBy("region").applyInPandas(_confirmed_across, "a bigint, b bigint")
-    more = written(more, f"{folder}/more-links")
-    final = written(components(links.unionByName(more), f"{folder}/second"), f"{folder}/parts")
+    untested = _trees(among, "component").mapInArrow(_pairs_across, PAIRS).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = written(_linked(written(untested, f"{folder}/across"), sets), f"{folder}/more-links")
+    final = components(links.unionByName(more), f"{folder}/second")
 
     of_rep = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         *(F.col(c).alias(f"_{c}") for c in name), F.coalesce("component", "rep").alias("component_id")
