@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import re
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +16,30 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; that setting is required.
+    """A new folder below ``spark.checkpoint.dir``, which a cluster has to name.
 
-    The tables in it belong to the query that asked for it; whoever owns the
-    checkpoint folder empties it, as with Spark's own checkpoints.
+    A local session without that setting, as in tests, gets a folder that goes
+    when its process ends. The tables in a named folder belong to the query that
+    asked for it; whoever owns the checkpoint folder empties it, as with Spark's
+    own checkpoints.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _process_folder()
+
+
+@lru_cache(maxsize=1)
+def _process_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="salesmart-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: what follows has no lineage beyond the files."""
     df.write.parquet(path)
