@@ -2,8 +2,9 @@
 
 Results are compared to the cent, so sums must not depend on the order in which
 partitions are merged (or re-run after a lost executor). Money is therefore
-summed as whole cents in a bigint: exact, cheap, code-generated. A sum beyond
-the bigint range fails under ANSI instead of wrapping.
+summed as whole cents, and integers that may overflow a bigint in sum are summed
+in two halves: exact, cheap, code-generated. The halves meet in a 38-digit decimal
+once per group.
 """
 
 from __future__ import annotations
@@ -32,18 +33,31 @@ def round_whole(value: Column) -> Column:
     return F.floor(value + F.lit(0.5)).cast("bigint")
 
 
-def cents(value: Column) -> Column:
-    """A two-decimal double as a whole number of hundredths."""
-    return F.rint(value * 100).cast("bigint")
+HALF = 1_000_000_000
+
+
+def _halves(high: Column, low: Column) -> Column:
+    return F.sum(high).cast("decimal(28,0)") * F.lit(HALF).cast("decimal(10,0)") + F.sum(low)
+
+
+def sum_whole(value: Column) -> Column:
+    """Sum of bigints as decimal(38,0), without overflow."""
+    high = F.floor(value / F.lit(float(HALF))).cast("bigint")
+    return _halves(high, value - high * F.lit(HALF))
 
 
 def from_cents(value: Column) -> Column:
-    return value / F.lit(100)
+    return value.cast("double") / F.lit(100)
 
 
 def sum_cents(value: Column) -> Column:
-    """Exact sum, in hundredths, of doubles that hold two decimals."""
-    return F.sum(cents(value))
+    """Exact sum, in hundredths, of doubles that hold two decimals.
+
+    Finer amounts are rounded to the cent before they are added.
+    """
+    whole = F.rint(value * 100)
+    high = F.floor(whole / F.lit(float(HALF))).cast("bigint")
+    return _halves(high, (whole - high.cast("double") * F.lit(float(HALF))).cast("bigint"))
 
 
 def sum_money(value: Column) -> Column:
@@ -62,8 +76,11 @@ def population_stddev(n: Column, total: Column, squares: Column) -> Column:
     The difference of the two products is taken in exact decimals, so nothing
     cancels and the result does not depend on merge order.
     """
-    wide = "decimal(38,0)"
-    spread = n.cast("decimal(19,0)") * squares.cast("decimal(19,0)") - total.cast(
-        "decimal(19,0)"
-    ) * total.cast("decimal(19,0)")
-    return F.sqrt(spread.cast(wide).cast("double")) / n
+    whole = "decimal(38,0)"
+    left = F.try_multiply(n.cast("decimal(19,0)"), squares.cast(whole))
+    right = F.try_multiply(total.cast("decimal(19,0)"), total.cast("decimal(19,0)"))
+    exact = F.sqrt(F.try_subtract(left, right).cast("double")) / n
+    # Beyond 38 digits, where doubles differ by more than the products' last digits.
+    mean = total.cast("double") / n
+    rough = F.sqrt(F.greatest(squares.cast("double") / n - mean * mean, F.lit(0.0)))
+    return F.coalesce(exact, rough)

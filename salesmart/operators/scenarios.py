@@ -35,7 +35,7 @@ def scenario_baseline(
     """
     zero = F.lit(0)
     tag = F.lit(source).alias("baseline_from")
-    high = clusters.filter(F.col("demand_level") == "High").select("product_id").distinct()
+    high = clusters.filter(F.col("demand_level") == "High").select("product_id")
     if not by:
         high_count = high.agg(F.count(F.lit(1)).alias("n")).scalar()
         return sales.agg(
@@ -46,7 +46,7 @@ def scenario_baseline(
     per_product = sales.groupBy(*by, "product_id").agg(
         F.sum("sales_qty").alias("_units"), F.sum("stock_qty").alias("_stock")
     )
-    flagged = per_product.join(high.withColumn("_high", F.lit(1)), "product_id", "left")
+    flagged = per_product.join(high.distinct().withColumn("_high", F.lit(1)), "product_id", "left")
     return flagged.groupBy(*by).agg(
         F.sum("_units").alias("baseline_units"),
         F.sum("_stock").alias("baseline_stock"),

@@ -22,6 +22,7 @@ from salesmart.functions.numeric import (
     round_half_up,
     sum_cents,
     sum_money,
+    sum_whole,
 )
 
 Counter = Callable[[str], Column]
@@ -107,7 +108,7 @@ def product_features(fact: DataFrame, distinct: Counter = F.count_distinct) -> D
     quantity = F.col("sales_quantity").cast("bigint")
     grouped = fact.groupBy("product_id", "product_name").agg(
         F.sum("sales_quantity").alias("total_sales"),
-        F.sum(quantity * quantity).alias("_squares"),
+        sum_whole(quantity * quantity).alias("_squares"),
         F.sum("stock_quantity").alias("_stock"),
         F.count(F.lit(1)).alias("_rows"),
         sum_money(F.col("revenue")).alias("revenue"),

@@ -17,10 +17,6 @@ from salesmart.schema import TIER_FEATURES, TIER_LABELS
 from salesmart.session import concurrently
 
 
-# Vectors per cached partition during the fit.
-ROWS_PER_PARTITION = 100_000
-
-
 def _scaled_name(feature: str) -> str:
     return f"{feature}_z"
 
@@ -72,14 +68,10 @@ def fit_kmeans(
     return min(models.values(), key=lambda m: m.summary.trainingCost)
 
 
-def _packed(vectors: DataFrame) -> DataFrame:
-    """Cached vectors in partitions big enough to be worth a task per iteration."""
-    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    partitions = -(-cached.count() // ROWS_PER_PARTITION) or 1
-    packed = cached.coalesce(partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    packed.count()
-    cached.unpersist()
-    return packed
+def _cached(vectors: DataFrame, partitions: int | None) -> DataFrame:
+    """Vectors kept for the fits, in the partitions of their table or the number asked for."""
+    dealt = vectors if partitions is None else vectors.repartition(partitions)
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def kmeans_clusters(
@@ -90,11 +82,12 @@ def kmeans_clusters(
     max_iter: int = 300,
     tol: float | None = None,
     parallelism: int = 10,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``cluster``. Fits eagerly on cached vectors; the assignment stays lazy."""
     scaled = scale_features(df, features)
     assembler = VectorAssembler(inputCols=[_scaled_name(f) for f in features], outputCol="features")
-    vectors = _packed(assembler.transform(scaled).select("features"))
+    vectors = _cached(assembler.transform(scaled).select("features"), partitions)
     try:
         model = fit_kmeans(vectors, k, seeds, max_iter, tol, parallelism)
     finally:

@@ -12,7 +12,7 @@ from salesmart.operators import dashboard, quality, scenarios, star, summaries,
 from salesmart.operators.enrich import date_attributes, enrich_sales, snake_case_columns
 from salesmart.plans import batch, sqlsuite
 from salesmart.plans.testtables import fixed_tiers, raw_sales
-from salesmart.schema import FACT_SCHEMA, RAW_COLUMNS, RAW_CSV_SCHEMA, TIER_FEATURES
+from salesmart.schema import FACT_SCHEMA, RAW_CSV_SCHEMA, TIER_FEATURES
 from salesmart.sources.readers import load_processed, read_sales
 from salesmart.sources.tables import (
     append_table,
@@ -148,7 +148,7 @@ def checked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = raw_sales(spark, sf_dir).toDF(*RAW_CSV_SCHEMA.fieldNames())
-    return snake_case_columns(published).select(*RAW_COLUMNS)
+    return snake_case_columns(published)
 
 
 # --- star, suite, runs -------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,12 @@ from salesmart.schema import TIER_LABELS
 from salesmart.session import concurrently
 from salesmart.sources.tables import write_table
 
-CENTS = "SUM(CAST(rint(revenue * 100) AS BIGINT))"
+_HIGH = "CAST(floor(rint(revenue * 100) / 1e9D) AS BIGINT)"
+# Whole cents summed in two halves, as in functions/numeric.py: no sum overflows.
+CENTS = (
+    f"(CAST(SUM({_HIGH}) AS DECIMAL(28,0)) * CAST(1000000000 AS DECIMAL(10,0))"
+    f" + SUM(CAST(rint(revenue * 100) - {_HIGH} * 1e9D AS BIGINT)))"
+)
 TIER_ORDER = f"array_position(array{tuple(TIER_LABELS)}, demand_level)"
 
 
@@ -35,20 +41,20 @@ def _sales_by(key: str) -> str:
 
 QUERIES = {
     "q1_warehouse_units": f"""
-        SELECT warehouse_id, SUM(sales_qty) AS units, {CENTS} / 100 AS revenue
+        SELECT warehouse_id, SUM(sales_qty) AS units, CAST({CENTS} AS DOUBLE) / 100 AS revenue
         FROM fact_sales
         GROUP BY warehouse_id
         ORDER BY units DESC, warehouse_id""",
     "q2_top_products_by_name": f"""
         WITH sold AS ({_sales_by("product_id")})
-        SELECT product_name, SUM(cents) / 100 AS revenue, SUM(units) AS units
+        SELECT product_name, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue, SUM(units) AS units
         FROM sold JOIN dim_product USING (product_id)
         GROUP BY product_name
         ORDER BY revenue DESC, product_name
         LIMIT 10""",
     "q3_monthly_trend": f"""
         WITH sold AS ({_sales_by("date_id")})
-        SELECT d.year, d.month, SUM(s.units) AS units, SUM(s.cents) / 100 AS revenue
+        SELECT d.year, d.month, SUM(s.units) AS units, CAST(SUM(s.cents) AS DOUBLE) / 100 AS revenue
         FROM sold s JOIN dim_date d ON d.date_id = s.date_id
         GROUP BY d.year, d.month
         ORDER BY d.year, d.month""",
@@ -62,31 +68,31 @@ QUERIES = {
     "q5_tier_rollup": f"""
         SELECT demand_level, COUNT(*) AS products,
                {_round("AVG(avg_daily_sales)", 2)} AS avg_daily_sales,
-               {CENTS} / 100 AS total_revenue
+               CAST({CENTS} AS DOUBLE) / 100 AS total_revenue
         FROM product_clusters
         GROUP BY demand_level
         ORDER BY {TIER_ORDER}""",
     "q6_weekend_split": f"""
         WITH sold AS ({_sales_by("date_id")})
         SELECT CASE WHEN weekday IN (5, 6) THEN 'weekend' ELSE 'weekday' END AS day_type,
-               SUM(units) AS units, SUM(cents) / 100 AS revenue
+               SUM(units) AS units, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue
         FROM sold JOIN dim_date USING (date_id)
         GROUP BY day_type""",
     "q7_store_in_warehouse": f"""
         WITH sold AS ({_sales_by("store_id")})
-        SELECT w.warehouse_id, w.store_id, s.units, s.cents / 100 AS revenue
+        SELECT w.warehouse_id, w.store_id, s.units, CAST(s.cents AS DOUBLE) / 100 AS revenue
         FROM sold s JOIN dim_store w ON w.store_id = s.store_id
         ORDER BY w.warehouse_id, revenue DESC, w.store_id""",
     "api_sales_summary": f"""
         WITH sold AS ({_sales_by("date_id")})
-        SELECT year, month, SUM(units) AS units, SUM(cents) / 100 AS revenue
+        SELECT year, month, SUM(units) AS units, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue
         FROM sold JOIN dim_date USING (date_id)
         GROUP BY 1, 2
         ORDER BY 1, 2""",
     "api_warehouse_summary": f"""
         SELECT warehouse_id, SUM(sales_qty) AS units_sold,
                {_round("SUM(stock_qty) / COUNT(*)", 1)} AS avg_stock,
-               {CENTS} / 100 AS revenue
+               CAST({CENTS} AS DOUBLE) / 100 AS revenue
         FROM fact_sales
         GROUP BY 1
         ORDER BY 1""",
@@ -129,8 +135,8 @@ def run_query_suite(
 def _run_one(spark: SparkSession, name: str, text: str, path: str) -> DataFrame:
     try:
         written = write_table(spark.sql(text), path)
-    except PySparkException as problem:
-        message = problem.getCondition() or type(problem).__name__
+    except (PySparkException, Py4JJavaError) as problem:  # the latter from sources and sinks
+        message = str(problem).strip().split("\n\n")[0]
         return _outcome(spark.range(1), name, "failed", F.lit(0), F.lit(message))
     counted = written.agg(F.count(F.lit(1)).alias("_rows"))
     return _outcome(counted, name, "ok", F.col("_rows"), F.lit(None))

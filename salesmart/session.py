@@ -10,23 +10,25 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 MIB = 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 50_000
 
 T = TypeVar("T")
 
 
-def shuffle_settings(input_bytes: int, partition_bytes: int = 256 * MIB) -> dict[str, str]:
+def shuffle_settings(
+    input_bytes: int, partition_bytes: int = 256 * MIB, max_partitions: int | None = None
+) -> dict[str, str]:
     """Settings that size scans and shuffles to the input.
 
     The distinct over all raw columns moves every usable row once, so its
     partition count has to follow the input. AQE merges what turns out small and
     splits skewed join partitions, but cannot split an aggregate's partitions;
-    the initial number therefore errs on the high side. Beyond the cap, scan
-    splits grow instead: maps times reducers is what a shuffle has to track.
+    the initial number therefore errs on the high side. A shuffle has to track maps
+    times reducers; who limits their number with ``max_partitions`` gets reducers
+    and scan splits of the larger size that follows from it.
     """
     wanted = max(8, -(-input_bytes // partition_bytes))
-    partitions = min(wanted, MAX_SHUFFLE_PARTITIONS)
-    split = partition_bytes if wanted == partitions else max(partition_bytes, 1024 * MIB)
+    partitions = wanted if max_partitions is None else min(wanted, max_partitions)
+    split = max(partition_bytes, -(-input_bytes // partitions))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin on the smallest test tables."""
 
 import os
+import re
 
 import pytest
 
@@ -8,7 +9,7 @@ import __spark_entry__ as entry_module
 from compare import differences, duckdb_tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_module.queries()
+QUERIES = {q: f for q, f in entry_module.queries().items() if not re.match(r"op\d+_|pipeline$", q)}
 ORACLE = entry_module.oracle_sql()
 WITHOUT_SQL = {"kmeans_clusters", "demand_tiers"}
 
@@ -20,7 +21,7 @@ def con():
 
 def test_every_query_has_sql_except_kmeans():
     assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from salesmart.operators import summaries
@@ -74,3 +75,10 @@ def test_reduce_by_key_agrees(fact_of):
     pairs = fact.select("warehouse_id", "sales_quantity").rdd.map(tuple)
     expected = dict(pairs.reduceByKey(lambda a, b: a + b).collect())
     assert dict(map(tuple, summaries.units_by_warehouse(fact).collect())) == expected
+
+
+def test_extreme_rows_do_not_abort_the_summaries(fact_of):
+    fact = fact_of(*(dict(sales_quantity=2.1e9, store_id=i, price=1e8 * i) for i in range(1, 5)))
+    assert summaries.product_features(fact).first().total_sales == 8_400_000_000
+    assert summaries.warehouse_summary(fact).count() == 1
+    assert summaries.kpi_snapshot(fact).first().total_revenue == pytest.approx(2.1e18)
