@@ -11,8 +11,9 @@ candidates.
 Candidates whose sketches agree too little for the similarity asked for are left
 out, at odds of about 1e-6 for a true link. Of the others each task first gives a
 spanning forest, whose links are confirmed on the full sets; then every candidate
-pair that still lies in different components is confirmed too. What remains
-unlinked has been compared.
+pair that still lies in different components is confirmed too, unless bitmaps of the
+two full sets already prove that they share too little. What remains unlinked has
+been compared.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ LEAF = 256
 SKETCH = 64
 SKETCH_LEVELS = SKETCH // TREES
 AGREE = 36
+#: Bits of the map of a set's shingles that bounds what two sets share.
+MAP_BITS = 1 << 12
 #: Bits of the filter that picks the texts of linked documents; a fixed megabyte.
 FILTER_BITS = 1 << 23
 #: Bytes of text worked on at once, and shingles hashed at once.
@@ -169,6 +172,26 @@ def forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> Iterator[tuple[in
             yield x, y
 
 
+def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = []
+        for own in batch.column("shingles").to_pylist():
+            bits = np.zeros(MAP_BITS, bool)
+            bits[np.frombuffer(own, "<u8") % MAP_BITS] = True
+            maps.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(maps, pa.binary())], names=["rep", "map"])
+
+
+def can_link(a: np.ndarray, b: np.ndarray, maps: np.ndarray, size: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """Whether pairs may reach the similarity; a no is certain.
+
+    Common shingles set common bits, but for those that share a bit with another
+    one of their set; ``lost`` counts a set's shingles beyond its bits.
+    """
+    common = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(lost[a], lost[b])
+    return 180 * common >= 80 * (size[a] + size[b])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
     """Distinct candidate pairs of a sorted partition: a forest of them, or those across components."""
     own = [b for b in batches if b.num_rows]
@@ -178,11 +201,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
     keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u2").reshape(-1, DEPTH)
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     size, rep = table.column("n_shingles").to_numpy(), table.column("rep").to_numpy()
-    part = table.column("component").to_numpy() if across else None
+    if across:
+        part = table.column("component").to_numpy()
+        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), "<u8").reshape(-1, MAP_BITS // 64)
+        lost = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
     found: list[np.ndarray] = [np.empty((3, 0), np.int64)]
     for a, b, agree in agreeing(sketch, size, reaches(keys, table.column("tree").to_numpy())):
         if across:
-            apart = part[a] != part[b]
+            apart = np.flatnonzero(part[a] != part[b])
+            apart = apart[can_link(a[apart], b[apart], maps, size, lost)]
             a, b, agree = a[apart], b[apart], agree[apart]
         found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), agree]))
     pairs = np.unique(np.concatenate(found, axis=1).T, axis=0)
@@ -288,9 +315,10 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, key: str = "doc_
     parts = written(components(links, f"{folder}/first"), f"{folder}/first-parts")
 
     # Only classes of some candidate pair can have one across components.
-    among = reps.join(active, "rep", "left_semi").join(parts, F.col("rep") == F.col("node"), "left")
+    maps = sets.mapInArrow(_bit_maps, "rep bigint, map binary")
+    among = reps.join(maps, "rep").join(parts, F.col("rep") == F.col("node"), "left")
     among = among.withColumn("component", F.coalesce("component", "rep"))
-    untested = _trees(among, "component").mapInArrow(_pairs_across, PAIRS).distinct().join(pairs, ["a", "b"], "left_anti")
+    untested = _trees(among, "component", "map").mapInArrow(_pairs_across, PAIRS).distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(_linked(written(untested, f"{folder}/across"), sets), f"{folder}/more-links")
     final = components(links.unionByName(more), f"{folder}/second")
 

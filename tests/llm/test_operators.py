@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -162,6 +163,23 @@ def test_near_duplicates(spark, docs):
     assert lsh_forest.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_bit_maps_rule_out_no_link():
+    rng = np.random.default_rng(13)
+    sets = []
+    for size in [1, 5, 150, 150, 3000]:
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        sets += [np.unique(np.where(rng.random(size) < share, rng.integers(0, 1 << 62, size).astype(np.uint64), base)) for share in np.linspace(0, 0.3, 12)]
+    batch = pa.RecordBatch.from_pydict({"rep": list(range(len(sets))), "shingles": [x.astype("<u8").tobytes() for x in sets]})
+    held = next(lsh_forest._bit_maps(iter([batch]))).column("map").to_pylist()
+    maps = np.frombuffer(b"".join(held), "<u8").reshape(len(sets), -1)
+    size = np.array([len(x) for x in sets])
+    lost = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    a, b = np.array(list(combinations(range(len(sets)), 2))).T
+    may = lsh_forest.can_link(a, b, maps, size, lost)
+    linked = np.array([lsh_forest.similar(sets[x], sets[y]) for x, y in zip(a, b)])
+    assert linked.any() and may[linked].all() and may.sum() < 0.5 * len(a)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(11)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(600)]
