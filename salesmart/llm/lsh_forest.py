@@ -43,7 +43,7 @@ MAP_BITS = 1 << 12
 #: Bits of the filter that picks the texts of linked documents; a fixed megabyte.
 FILTER_BITS = 1 << 23
 #: Bytes of text worked on at once, and shingles hashed at once.
-TEXT_AT_ONCE = 1 << 22
+TEXT_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 2048
 
 MINHASH = seeds("minhash", TREES * DEPTH)
