@@ -17,6 +17,8 @@ SCENARIOS = [
     ("Supply disruption", 0.85, "medium", "Constrained availability; protect High-demand SKUs first."),
 ]
 
+# Fixed value: what a rule-based forecast says of its origin.
+EXPLANATION = "Rule-based fallback (no OPENAI_API_KEY or GPT unavailable)."
 SCENARIO_NAMES = [name for name, *_ in SCENARIOS]
 
 BASELINE = ["baseline_units", "baseline_stock", "high_demand_products", "baseline_from"]
@@ -64,6 +66,21 @@ def scenario_baseline_from_kpis(kpis: DataFrame, source: str = "spark_kpis") ->
     )
 
 
+def available_baseline(
+    sales: DataFrame | None, clusters: DataFrame | None, kpis: DataFrame | None
+) -> DataFrame:
+    """The baseline of the star schema, or of the KPI row where no sale has units.
+
+    Looks for one such sale, which needs no full scan; without sales and KPIs there is
+    no baseline.
+    """
+    if sales is not None and not sales.where(F.col("sales_qty").isNotNull()).isEmpty():
+        return scenario_baseline(sales, clusters)
+    if kpis is None:
+        raise ValueError("no baseline: neither sales nor KPIs; run the batch first")
+    return scenario_baseline_from_kpis(kpis)
+
+
 def scenario_forecast(baseline: DataFrame, scenario: str | None = None) -> DataFrame:
     """Expected units per scenario (all, or the named one) for every baseline row."""
     if scenario is not None and scenario not in SCENARIO_NAMES:
@@ -90,6 +107,7 @@ def scenario_forecast(baseline: DataFrame, scenario: str | None = None) -> DataF
         round_half_even(F.col("baseline_units") * F.col("multiplier")).alias("expected_units"),
         "risk",
         "recommendation",
+        F.lit(EXPLANATION).alias("explanation"),
         F.lit("fallback").alias("source"),
         "baseline_from",
     )

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.operators import quality, star, summaries, tiers
+from salesmart.operators import quality, scenarios, star, summaries, tiers
 from salesmart.operators.enrich import enrich_sales
 from salesmart.schema import SALE_COLUMNS
 from salesmart.session import concurrently
@@ -15,15 +15,27 @@ from salesmart.sources.readers import read_sales
 from salesmart.sources.tables import write_report_json, write_table
 
 SUMMARIES = {
-    "units_by_warehouse": summaries.units_by_warehouse,
     "warehouse_summary": summaries.warehouse_summary,
     "store_summary": summaries.store_summary,
     "product_features": summaries.product_features,
     "time_summary": summaries.time_summary,
-    "top_products": summaries.top_products,
 }
 
 
+def _units_by_warehouse(outputs: dict[str, DataFrame]) -> DataFrame:
+    stores = outputs["store_summary"].withColumnRenamed("units_sold", "sales_quantity")
+    return summaries.units_by_warehouse(stores)
+
+
+def _top_products(outputs: dict[str, DataFrame]) -> DataFrame:
+    products = outputs["product_features"].withColumnRenamed("total_sales", "sales_quantity")
+    return summaries.top_products(products)
+
+
+# Reports whose figures are sums of written summaries.
+FROM_SUMMARIES = {"units_by_warehouse": _units_by_warehouse, "top_products": _top_products}
+
+
 @dataclass
 class BatchResult:
     """What a run returns: two counts, the written tables and the KPI row."""
@@ -34,8 +46,8 @@ class BatchResult:
     kpis: dict
 
 
-def _write_summary(name: str, fact: DataFrame, path: str, file_format: str) -> DataFrame:
-    return write_table(summaries.in_report_order(SUMMARIES[name](fact), name), path, file_format)
+def _write_report(name: str, report: DataFrame, path: str, file_format: str) -> DataFrame:
+    return write_table(summaries.in_report_order(report, name), path, file_format)
 
 
 def run_pipeline(
@@ -44,9 +56,9 @@ def run_pipeline(
     """Profile, clean, enrich, summarise and write.
 
     The raw data is scanned and shuffled once: the job that writes the clean fact
-    also counts the raw rows. All summaries read the written fact, pruned to
-    their columns, so nothing has to stay cached and a lost executor costs only
-    its running tasks.
+    also counts the raw rows. Summaries read the written fact, pruned to their
+    columns; what adds up from a written summary is taken from there. Nothing has
+    to stay cached and a lost executor costs only its running tasks.
     """
     if isinstance(raw, str):
         raw = read_sales(spark, raw)
@@ -55,15 +67,21 @@ def run_pipeline(
     before = observation.get
 
     jobs = {
-        name: partial(_write_summary, name, fact, f"{out_dir}/{name}", file_format)
-        for name in SUMMARIES
+        name: partial(_write_report, name, summary(fact), f"{out_dir}/{name}", file_format)
+        for name, summary in SUMMARIES.items()
     }
-    jobs["kpis"] = partial(write_table, summaries.kpi_snapshot(fact), f"{out_dir}/kpis")
     after = quality.profile_dq(fact.select(*SALE_COLUMNS))
     jobs["dq_stages"] = partial(
         write_table, quality.report_from_counts(before, after), f"{out_dir}/dq_stages"
     )
     outputs = {"clean_sales": fact} | concurrently(spark, jobs)
+    jobs = {
+        name: partial(_write_report, name, report(outputs), f"{out_dir}/{name}", file_format)
+        for name, report in FROM_SUMMARIES.items()
+    }
+    figures = summaries.kpis_from_summaries(fact, outputs["store_summary"], outputs["product_features"])
+    jobs["kpis"] = partial(write_table, figures, f"{out_dir}/kpis")
+    outputs |= concurrently(spark, jobs)
     kpis = outputs["kpis"]
     outputs["dq_report"] = write_report_json(outputs["dq_stages"], kpis, f"{out_dir}/dq_report")
     headline = kpis.first().asDict()
@@ -87,11 +105,14 @@ def load_star(fact: DataFrame, out_dir: str) -> dict[str, DataFrame]:
 def run_full(
     spark: SparkSession, raw: DataFrame | str, out_dir: str, **kmeans_options
 ) -> dict[str, DataFrame]:
-    """Batch run, star schema and demand tiers; an error in a stage ends the run there."""
+    """Batch run, star schema, demand tiers and forecasts; an error in a stage ends the run there."""
     outputs = run_pipeline(spark, raw, out_dir).outputs
     tables = load_star(outputs["clean_sales"], f"{out_dir}/star")
     tables["product_clusters"] = write_table(
         tiers.demand_tiers(outputs["product_features"], **kmeans_options),
         f"{out_dir}/star/product_clusters",
     )
+    baseline = scenarios.available_baseline(tables["fact_sales"], tables["product_clusters"], outputs["kpis"])
+    forecast = scenarios.scenario_forecast(baseline)
+    tables["scenario_forecast"] = write_table(forecast, f"{out_dir}/scenario_forecast", "json")
     return outputs | tables

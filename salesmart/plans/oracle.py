@@ -7,10 +7,18 @@ DECIMAL, dimensions use ROW_NUMBER.
 
 from __future__ import annotations
 
-from salesmart.operators.scenarios import SCENARIOS
 from salesmart.operators.star import FACT_KEYS, NOT_NULL, PRIMARY_KEYS
 from salesmart.schema import TIER_FEATURES
 
+# Fixed values, stated here so that a wrong one in the operator shows.
+SCENARIOS = [
+    ("Normal", 1.05, "low", "Slight growth vs baseline; maintain current replenishment."),
+    ("Festival", 1.4, "medium", "Spike in demand; pre-position stock for High-demand products."),
+    ("Low demand", 0.8, "low", "Softer sales; reduce inbound to avoid overstock."),
+    ("Supply disruption", 0.85, "medium", "Constrained availability; protect High-demand SKUs first."),
+]
+EXPLANATION = "Rule-based fallback (no OPENAI_API_KEY or GPT unavailable)."
+
 
 def _round(x: str, n: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(38,9)), {n}) AS DOUBLE)"
@@ -141,7 +149,7 @@ scenarios(scenario, multiplier, risk, recommendation) AS (VALUES {", ".join(
 forecast AS (
   SELECT scenario, baseline_units, baseline_stock, high_demand_products,
          {_bigint("round_even(baseline_units * multiplier, 0)")} AS expected_units,
-         risk, recommendation, 'fallback' AS source, baseline_from
+         risk, recommendation, '{EXPLANATION}' AS explanation, 'fallback' AS source, baseline_from
   FROM baseline, scenarios),
 inventory AS (
   SELECT *, CASE WHEN stock_ratio < 2 THEN 'Stockout Risk' ELSE 'Healthy' END AS status

@@ -93,3 +93,32 @@ def test_run_full(spark, run):
     tiers = {r.demand_level: r.avg for r in tables["product_clusters"].groupBy("demand_level").agg({"avg_daily_sales": "avg"}).withColumnRenamed("avg(avg_daily_sales)", "avg").collect()}
     assert tiers["Low"] < tiers["Medium"] < tiers["High"]
     assert tables["product_clusters"].count() == tables["product_features"].count()
+    forecast = {r.scenario: r for r in tables["scenario_forecast"].collect()}
+    assert forecast["Festival"].expected_units == round(151663 * 1.4)
+    assert {r.baseline_from for r in forecast.values()} == {"star_schema"}
+    assert all(r.explanation.startswith("Rule-based") for r in forecast.values())
+
+
+def test_reports_from_summaries_equal_those_from_the_fact(run):
+    outputs = run[0].outputs
+    fact = outputs["clean_sales"]
+    for name, plain in {
+        "units_by_warehouse": summaries.units_by_warehouse,
+        "top_products": summaries.top_products,
+        "kpis": summaries.kpi_snapshot,
+    }.items():
+        want = plain(fact)
+        assert sorted(map(str, outputs[name].select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert set(outputs["kpis"].columns) == set(summaries.kpi_snapshot(fact).columns)
+
+
+def test_extreme_sales_do_not_end_the_run(spark, raw_of, tmp_path):
+    raw = raw_of(
+        *({"store_id": s, "sales_quantity": 2.1e9, "price": 1.0} for s in range(1, 5)),
+        {"product_id": 2, "sales_quantity": 2.0, "price": 1e17},
+    )
+    result = batch.run_pipeline(spark, raw, str(tmp_path))
+    assert result.kpis["total_units"] == 4 * 2_100_000_000 + 2
+    assert result.kpis["total_revenue"] == pytest.approx(2e17, rel=1e-6)
+    volatility = {r.product_id: r.sales_volatility for r in result.outputs["product_features"].collect()}
+    assert set(volatility.values()) == {0.0}

@@ -35,6 +35,18 @@ def test_delta_text(spark, baseline):
     assert scenarios.scenario_delta(empty).first().delta_text is None
 
 
+def test_baseline_falls_back_to_kpis(spark):
+    clusters = spark.createDataFrame([(1, "High")], "product_id int, demand_level string")
+    sales = spark.createDataFrame([(1, 5, 7), (2, None, 1)], "product_id int, sales_qty int, stock_qty int")
+    kpis = spark.createDataFrame([(40,)], "total_units bigint")
+    chosen = lambda s, k: tuple(scenarios.available_baseline(s, clusters, k).first())
+    assert chosen(sales, kpis) == (5, 8, 1, "star_schema")
+    for none in (sales.where("sales_qty is null"), sales.limit(0), None):
+        assert chosen(none, kpis) == (40, 0, 0, "spark_kpis")
+    with pytest.raises(ValueError, match="no baseline"):
+        scenarios.available_baseline(sales.limit(0), clusters, None)
+
+
 def test_baseline_without_sales(spark):
     sales = spark.createDataFrame([], "product_id int, sales_qty int, stock_qty int")
     clusters = spark.createDataFrame([(1, "High")], "product_id int, demand_level string")
