@@ -387,7 +387,8 @@ BODIES = {
     + " UNION ALL SELECT 'product_features', COUNT(*) FROM product_features"
     + " UNION ALL SELECT 'time_summary', COUNT(*) FROM monthly"
     + " UNION ALL SELECT 'top_products', least(20, COUNT(*)) FROM product_features"
-    + " UNION ALL SELECT 'dq_report', 1 UNION ALL SELECT 'dq_stages', 2 UNION ALL SELECT 'kpis', 1",
+    + " UNION ALL SELECT 'dq_report', 1 UNION ALL SELECT 'dq_stages', 2 UNION ALL SELECT 'kpis', 1"
+    + " UNION ALL SELECT 'scenario_forecast', COUNT(*) FROM forecast",
 }
 
 
