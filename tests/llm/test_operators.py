@@ -163,6 +163,58 @@ def test_near_duplicates(spark, docs):
     assert lsh_forest.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Pairs of a similarity near 0.8 among thousands of texts that share most of their words."""
+    rng = np.random.default_rng(8)
+    stock = [f"form{i}" for i in range(76)]
+    own = lambda n: [f"own{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts, pairs = [], 600
+    for number in range(4000):
+        mine = own(15)
+        texts.append(" ".join(stock + mine))
+        if number < pairs:  # 90 shingles each, 80 of them shared: 80 / 100
+            texts.append(" ".join(stock + mine[:5] + own(10)))
+    order = rng.permutation(len(texts)).tolist()
+    table = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id bigint, text string").repartition(6)
+    at = {k: i for i, k in enumerate(order)}
+    want = {i: i for i in range(len(texts))}
+    for k in range(0, 2 * pairs, 2):
+        want[at[k]] = want[at[k + 1]] = min(at[k], at[k + 1])
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(table).collect()}
+    missed = sum(got[at[k]] != got[at[k + 1]] for k in range(0, 2 * pairs, 2))
+    assert missed == 0 and got == want
+
+
+def test_rare_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(5)
+    common = np.zeros(lsh_forest.COUNTERS, np.int64)
+    for _ in range(500):
+        x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64)]))
+        if not len(y) or not lsh_forest.similar(x, y):
+            continue
+        batch = pa.record_batch({"rep": [1, 2], "component": [1, 2], "shingles": [s.astype("<u8").tobytes() for s in (x, y)]})
+        rare = next(lsh_forest._rare_shingles(common)(iter([batch]))).to_pylist()
+        first, second = ({r["shingle"]: r["indexed"] for r in rare if r["rep"] == rep} for rep in (1, 2))
+        small, large = (first, second) if len(x) <= len(y) else (second, first)
+        assert any(small[s] for s in small.keys() & large.keys())
+
+
+def test_blocks_compare_every_pair(monkeypatch):
+    """Small batches and few pairs at once give the pairs of whole blocks."""
+    monkeypatch.setattr(lsh_forest, "PAIRS_AT_ONCE", 7)
+    part = [[1, 1, 2, 3, 3], [1, 2], [4], [5, 6, 6, 7]]
+    rows = [(block, p, 10 * block + i) for block, own in enumerate(part) for i, p in enumerate(own)]
+    table = pa.table({
+        "shingle": [r[0] for r in rows], "one": [0] * len(rows), "other": [0] * len(rows), "component": [r[1] for r in rows],
+        "rep": [r[2] for r in rows], "n_shingles": [9] * len(rows), "indexed": [True] * len(rows),
+        "sketch": [bytes(lsh_forest.SKETCH)] * len(rows), "map": [b"\x01" * 9 + bytes(lsh_forest.MAP_BITS // 8 - 9)] * len(rows),
+    })
+    got = [tuple(p.values()) for b in lsh_forest._block_pairs(iter(table.to_batches(max_chunksize=3))) for p in b.to_pylist()]
+    want = [(x[2], y[2]) for x, y in combinations(rows, 2) if x[0] == y[0] and x[1] != y[1]]
+    assert sorted(got) == sorted(want)
+
+
 def test_bit_maps_rule_out_no_link():
     rng = np.random.default_rng(13)
     sets = []
