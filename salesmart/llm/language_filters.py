@@ -30,6 +30,10 @@ TRAIN_ROWS = 20_000
 #: below the language that holds it most.
 LEAST_SHARE = 0.01
 LEAST_OF_MOST = 0.5
+#: Share of a language's usual hits below which a text is not in it, and by how many
+#: standard deviations a short text may lie below that.
+LEAST_OF_USUAL = 0.5
+DEVIATIONS = 2
 UNDECIDED = "und"
 GRAM = seeds("gram", SIZE)
 PROBE = seeds("probe", HASHES)
@@ -98,8 +102,8 @@ class BitSlicedFilter:
             found &= self.words[self._slot(names, seed, len(self.words))]
         return found
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and its share of the corrected counts; the first language where nothing is known."""
+    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corrected counts of each text and language, all n-grams of each text, and which texts have a letter."""
         names, owner, has_letter = grams(texts)
         masks = self.languages_of(names)
         total = np.bincount(owner, minlength=len(texts))[: len(texts)]
@@ -108,6 +112,11 @@ class BitSlicedFilter:
             bit = ((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(bool)
             own = np.bincount(owner[bit], minlength=len(texts))[: len(texts)]
             hits[:, i] = np.maximum(0, (own - total * rate) / (1 - min(rate, 0.999)))
+        return hits, total, has_letter
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and its share of the corrected counts; the first language where nothing is known."""
+        hits, _, has_letter = self.hits(texts)
         best = hits.argmax(axis=1) if self.languages else np.zeros(len(texts), np.int64)
         score = np.zeros(len(texts))
         sums = hits.sum(axis=1)
@@ -122,6 +131,72 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def in_language(hits: np.ndarray, total: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Whether the best language claims each text: some hits, and not far fewer of the text's
+    n-grams than are usual in that language.
+
+    An n-gram shares letters with SIZE - 1 others, so counts vary as if there were
+    only a SIZE-th of them; a text of a few words is rejected for want of any hit only.
+    """
+    if not len(usual):
+        return np.zeros(len(total), bool)
+    best = hits.argmax(axis=1)
+    most, rate = hits[np.arange(len(hits)), best], usual[best]
+    allowed = DEVIATIONS * np.sqrt(SIZE * total * rate * (1 - rate))
+    return (most > 0) & (most >= LEAST_OF_USUAL * rate * total - allowed)
+
+
+def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> DataFrame:
+    """The labelled documents that :func:`fit` learns from."""
+    labelled = docs.where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))
+    )
+    rows = labelled.count()
+    if rows > train_rows:
+        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 20)) < int(train_rows / rows * (1 << 20)))
+    return labelled
+
+
+def usual_rates(docs: DataFrame, model: BitSlicedFilter, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> np.ndarray:
+    """For each language of ``model``, the share of its training documents' n-grams that it holds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(model.languages)))
+        for batch in batches:
+            texts, at = batch.column("text").to_pylist(), 0
+            lang = np.array([model.languages.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            for some in _by_size(texts):
+                own = lang[at : at + len(some)]
+                at += len(some)
+                hits, total, _ = model.hits(some)
+                np.add.at(sums[0], own, hits[np.arange(len(some)), own])
+                np.add.at(sums[1], own, total)
+        held = [pa.array(np.arange(len(model.languages), dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])]
+        yield pa.RecordBatch.from_arrays(held, names=["lang", "hits", "total"])
+
+    rows = training_rows(docs, train_rows, key)
+    narrow = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counted = narrow.mapInArrow(count, "lang int, hits double, total double").groupBy("lang")
+    usual = np.zeros(len(model.languages))
+    for r in counted.agg(F.sum("hits").alias("hits"), F.sum("total").alias("total")).collect():
+        usual[r["lang"]] = r["hits"] / max(r["total"], 1)
+    return usual
+
+
+def in_known_language(docs: DataFrame, model: BitSlicedFilter, usual: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows whose text the best language claims, see :func:`in_language`; none without a letter."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [np.empty(0, bool)]
+            for some in _by_size(batch.column(text).to_pylist()):
+                hits, total, has_letter = model.hits(some)
+                known.append(has_letter & in_language(hits, total, usual))
+            yield batch.filter(pa.array(np.concatenate(known)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> BitSlicedFilter:
     """Learns from text and lang of documents that are not held out.
 
@@ -131,12 +206,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> B
     times the n-grams of an average document. Rows with null text, lang or key
     teach nothing.
     """
-    labelled = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))
-    )
-    rows = labelled.count()
-    if rows > train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 20)) < int(train_rows / rows * (1 << 20)))
+    labelled = training_rows(docs, train_rows, key)
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = [r["lang"] for r in sizes]  # most frequent first
     if not languages:
