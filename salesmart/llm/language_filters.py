@@ -26,6 +26,8 @@ HASHES = 4
 SLOTS_PER_GRAM = 16
 #: Labelled documents that the filter is fitted on, about.
 TRAIN_ROWS = 20_000
+#: Labelled documents that a rare language has among them, about, or all if there are fewer.
+LEAST_ROWS = 100
 #: Share of a language's documents that must hold an n-gram, and how far it may lie
 #: below the language that holds it most.
 LEAST_SHARE = 0.01
@@ -147,14 +149,27 @@ def in_language(hits: np.ndarray, total: np.ndarray, usual: np.ndarray) -> np.nd
 
 
 def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> DataFrame:
-    """The labelled documents that :func:`fit` learns from."""
+    """The labelled documents that :func:`fit` learns from.
+
+    All if there are at most ``train_rows``, else a share of them, but of a language
+    with fewer than LEAST_ROWS in that share about LEAST_ROWS, or all it has if there
+    are fewer; so every labelled language has some.
+    """
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))
     )
-    rows = labelled.count()
-    if rows > train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 20)) < int(train_rows / rows * (1 << 20)))
-    return labelled
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(rows.values())
+    if total <= train_rows:
+        return labelled
+    limit = lambda share: F.lit(int(min(share, 1) * (1 << 40)))
+    common = train_rows / total
+    rare = {x: LEAST_ROWS / n for x, n in rows.items() if n * common < LEAST_ROWS}
+    most = limit(common)
+    if rare:
+        own = F.create_map(*(c for x, share in rare.items() for c in (F.lit(x), limit(share))))
+        most = F.coalesce(own[F.col("lang")], most)
+    return labelled.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 40)) < most)
 
 
 def usual_rates(docs: DataFrame, model: BitSlicedFilter, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> np.ndarray:
@@ -201,7 +216,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> B
     """Learns from text and lang of documents that are not held out.
 
     Takes about ``train_rows`` of them, chosen by a hash of their key, or all if
-    there are fewer. N-grams are counted by document in Spark; only those that a
+    there are fewer, and more of rare languages, see :func:`training_rows`. N-grams are counted by document in Spark; only those that a
     hundredth of a language's documents hold come to the driver, at most a hundred
     times the n-grams of an average document. Rows with null text, lang or key
     teach nothing.

@@ -263,6 +263,17 @@ def test_language_filters(spark, docs):
     assert language_filters.identify(docs, language_filters.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "plain words of a common language", "en") for i in range(3000)]
+    rows += [(3000 + i, "harvinainen kieli sanoja", "fi") for i in range(12)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language_filters.training_rows(given, train_rows=50).groupBy("lang").count().collect()
+    got = {r["lang"]: r["count"] for r in sample}
+    all_fi = given.where((F.col("lang") == "fi") & ~language_filters.held_out(F.col("doc_id"))).count()
+    assert got["fi"] == all_fi and 50 <= got["en"] <= 200
+    assert set(language_filters.fit(given, train_rows=50).languages) == {"en", "fi"}
+
+
 def test_toxicity_chain(spark, docs):
     vile = [(i, f"this text number{i} says idiotic thing{i % 7} to you", 1) for i in range(60)]
     nice = [(100 + i, f"this text number{i} says pleasant thing{i % 7} to you", 0) for i in range(200)]
