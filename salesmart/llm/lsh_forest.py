@@ -1,6 +1,6 @@
 """Near-duplicate documents by an LSH forest of minimum hashes.
 
-A document is the set of its distinct two-word shingles; documents with equal sets
+A document is the set of its distinct shingles, of two words unless told otherwise; documents with equal sets
 are one class. A class gets several independent sequences of minimum hashes, one
 per tree, and each tree is the table sorted by its sequence. A prefix of the
 sequence is a region of the tree. Regions are cut deeper until they hold few
@@ -60,7 +60,10 @@ TEXT_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 2048
 
 MINHASH = seeds("minhash", TREES * DEPTH)
+#: Words of a shingle, as op6 defines it.
+WORDS = 2
 PAIR = seeds("shingle", 3)
+LONGER = seeds("longer", 64)
 NAME = seeds("setname", 2)
 
 #: The bytes that part words.
@@ -71,18 +74,21 @@ INK = np.ones(256, bool)
 INK[BLANKS] = False
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; empty for null and for no words."""
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; empty for null and for no words.
+
+    A text of fewer words than a shingle has is one shingle.
+    """
     upto = np.cumsum(pc.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(column):
         limit = TEXT_AT_ONCE + (upto[at - 1] if at else 0)
         to = max(at + 1, int(np.searchsorted(upto, limit, "right")))
-        yield from _shingles(column.slice(at, to - at))
+        yield from _shingles(column.slice(at, to - at), words)
         at = to
 
 
-def _shingles(column: pa.Array) -> Iterator[np.ndarray]:
+def _shingles(column: pa.Array, length: int) -> Iterator[np.ndarray]:
     data, texts = text_bytes(column)
     ink = np.zeros(len(data) + 2, bool)
     ink[1:-1] = INK[data]
@@ -94,7 +100,11 @@ def _shingles(column: pa.Array) -> Iterator[np.ndarray]:
     bounds = np.searchsorted(starts, texts)
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         own = words[lo:hi]
-        if len(own) > 1:
+        if length != WORDS and len(own) > 1:
+            some = min(length, len(own))
+            windows = np.lib.stride_tricks.sliding_window_view(own, some)
+            yield np.unique(mix((windows * LONGER[:some]).sum(axis=1, dtype=np.uint64)))
+        elif len(own) > 1:
             yield np.unique(mix(own[:-1] * PAIR[0] + own[1:] * PAIR[1]))
         else:
             yield mix(own * PAIR[2])
@@ -113,10 +123,10 @@ PAIRS = "a bigint, b bigint"
 SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, sketch binary"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, names, signs, sketches = [], [], [], []
-        for own in shingle_sets(batch.column("text")):
+        for own in shingle_sets(batch.column("text"), words):
             size.append(len(own))
             names.append([mix(own ^ n).sum(dtype=np.uint64) for n in NAME])
             sign = signature(own)
@@ -272,7 +282,7 @@ def _trees(reps: DataFrame, *more: str) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, path: str, words: int) -> DataFrame:
     """rep, shingles of the documents in ``wanted`` (rep), read again from the texts.
 
     A filter of fixed size drops most other texts where they are read; a join of
@@ -282,16 +292,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     bits = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")
     )
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    held = np.zeros(FILTER_BITS // 64, np.int64)
     for part in bits.toArrow().to_batches():
-        words[part.column("word").to_numpy()] = part.column("bits").to_numpy()
-    words = words.view(np.uint64)
+        held[part.column("word").to_numpy()] = part.column("bits").to_numpy()
+    held = held.view(np.uint64)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("slot").to_numpy()
-            some = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            found = [own.astype("<u8").tobytes() for own in shingle_sets(some.column("text"))]
+            some = batch.filter(pa.array((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            found = [own.astype("<u8").tobytes() for own in shingle_sets(some.column("text"), words)]
             yield pa.RecordBatch.from_arrays([some.column("rep"), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
     rows = docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").withColumn("slot", slot)
@@ -430,18 +440,22 @@ def _rare_pairs(crowd: DataFrame, reps: DataFrame, path: str) -> DataFrame:
     return met.mapInArrow(_block_pairs, PAIRS).distinct()
 
 
-def near_duplicates(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", words: int = WORDS
+) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked if their shingle sets have a Jaccard similarity of 0.8 or
-    more; ``component_id`` is the smallest doc_id that links reach. Documents
+    Documents are linked if their sets of shingles of ``words`` words (64 at most)
+    have a Jaccard similarity of 0.8 or more; ``component_id`` is the smallest doc_id that links reach. Documents
     without words are linked with nothing. Rows are told apart by their doc_id,
     which should be distinct; a null doc_id is linked with nothing, has a null
     component and is kept. Other columns are ignored, an empty table gives no row.
     """
+    if not 1 <= words <= len(LONGER):
+        raise ValueError(f"words must be from 1 to {len(LONGER)}")
     folder = folder or shared_folder(docs.sparkSession, "lsh-forest")
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_signed, SIGNED), f"{folder}/signed")
+    signed = written(rows.mapInArrow(lambda batches: _signed(batches, words), SIGNED), f"{folder}/signed")
     name = ["set_a", "set_b", "n_shingles"]
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy(*name).agg(F.min("doc_id").alias("rep"))
@@ -454,7 +468,7 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, key: str = "doc_
     pairs = written(_trees(reps).mapInArrow(_forest_pairs, PAIRS).distinct(), f"{folder}/pairs")
     active = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     crowded = _crowded(reps, f"{folder}/crowded")
-    sets = _sets_of(rows, active.union(crowded).distinct(), f"{folder}/sets")
+    sets = _sets_of(rows, active.union(crowded).distinct(), f"{folder}/sets", words)
     links = written(_linked(pairs, sets), f"{folder}/links")
     parts = written(components(links, f"{folder}/first"), f"{folder}/first-parts")
 

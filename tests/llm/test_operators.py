@@ -185,6 +185,15 @@ def test_near_duplicates_of_a_template(spark):
     assert missed == 0 and got == want
 
 
+def test_shingle_length(spark):
+    prose = [f"w{i}" for i in range(100)]
+    edited = [w if i % 20 != 10 else f"x{i}" for i, w in enumerate(prose)]  # 89 / 109 on two words, 71 / 121 on five
+    table = spark.createDataFrame([(0, " ".join(prose)), (1, " ".join(edited)), (2, "w1 w2"), (3, "W1 w2")], "doc_id bigint, text string")
+    for words, want in ((2, [0, 0, 2, 2]), (5, [0, 1, 2, 2])):
+        got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(table, words=words).collect()}
+        assert [got[i] for i in range(4)] == want
+
+
 def test_rare_shingles_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     common = np.zeros(lsh_forest.COUNTERS, np.int64)
