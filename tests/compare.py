@@ -14,6 +14,7 @@ TYPES = {
     "int": "INTEGER",
     "double": "DOUBLE",
     "date": "DATE",
+    "boolean": "BOOLEAN",
 }
 
 
