@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from salesmart.llm import (
     chat_windows,
+    host_reputation,
     interleave,
     language_filters,
     lsh_forest,
     merge_automaton,
+    merkle_manifest,
     multi_index,
     phrase_fingerprint,
     residual_packing,
+    source_divergence,
     token_index,
     toxicity_chain,
 )
+from salesmart.llm.oracle import oracle_sql  # noqa: F401
 from salesmart.llm.shared import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +94,32 @@ def op10_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_fingerprint.compare_with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_digests(_table(spark, sf_dir, "documents"), shared_folder(spark, "op11"))
+
+
+#: The rules of op12, and the suffixes below which every name is a site of its own.
+URL_RULES = [
+    host_reputation.Rule("allow", "com", "/"),
+    host_reputation.Rule("block", "example.com", "/en/"),
+    host_reputation.Rule("allow", "www.example.com", "/en/"),
+    host_reputation.Rule("block", "net", "/es/"),
+    host_reputation.Rule("block", "net", "/fr/"),
+]
+SUFFIXES = ["example.com", "example.net", "example.org"]
+
+
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the row of ``labels`` with its id: bad if it is toxic or of low quality."""
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id as page_id", "toxic = 1 or quality = 0 as bad")
+    judged = host_reputation.judge(_table(spark, sf_dir, "pages"), labels, URL_RULES, SUFFIXES)
+    return judged.withColumn("bound", F.round("bound", 6))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"), shared_folder(spark, "op13"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_index": op1_token_index,
@@ -102,10 +132,8 @@ def queries() -> dict[str, Query]:
         "op8_merge_automaton": op8_merge_automaton,
         "op9_residual_packing": op9_residual_packing,
         "op10_phrase_fingerprint": op10_phrase_fingerprint,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_host_reputation": op12_host_reputation,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    """None of the results is expressible in SQL without the tokenizer, the hashes or the fits."""
-    return {}
