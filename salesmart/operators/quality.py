@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from salesmart.functions.dates import parse_date
 from salesmart.functions.numeric import round_half_up
-from salesmart.schema import KEY_FIELDS
+from salesmart.functions.rows import fingerprint
+from salesmart.schema import KEY_FIELDS, SALE_COLUMNS
 
 COPIES = "_copies"
 CORRUPT = "_corrupt_record"
@@ -27,9 +28,9 @@ COUNTERS = [
 ]
 
 
-def missing(df: DataFrame, name: str) -> Column:
-    """True where a field holds no usable value: null, or a non-finite number."""
-    value = F.col(name)
+def missing(df: DataFrame, name: str, value: Column | None = None) -> Column:
+    """True where a field (or ``value`` in its place) holds no usable value: null, or a non-finite number."""
+    value = F.col(name) if value is None else value
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         # NaN sorts above infinity, so this one test finds NaN and both infinities.
         return value.isNull() | (F.abs(value) >= F.lit(float("inf")))
@@ -88,34 +89,59 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     )
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """One row per distinct row, with its number of copies."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+def _conditions(df: DataFrame, values: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """What the counters between the row count and the duplicates count, for other ``values`` if given."""
+    held = {f: F.col(f) for f in KEY_FIELDS} | {f: v for f, v in (values or {}).items() if f in KEY_FIELDS}
+    absent = {f: missing(df, f, v) for f, v in held.items()}
+    return {
+        "null_any_key_field": reduce(lambda a, b: a | b, absent.values()),
+        "null_sales_quantity": absent["sales_quantity"],
+        "null_stock_quantity": absent["stock_quantity"],
+        "negative_sales": held["sales_quantity"] < 0,
+        "negative_stock": held["stock_quantity"] < 0,
+    }
 
 
-def _counters(rows: DataFrame, weight: Column) -> dict[str, Column]:
+def _counters(conditions: dict[str, Column], weight: Column) -> dict[str, Column]:
     """The seven counters as aggregates over distinct rows, each standing for ``weight`` rows."""
-    conditions = {
-        "total_rows": F.lit(True),
-        "null_any_key_field": _any_missing(rows, KEY_FIELDS),
-        "null_sales_quantity": missing(rows, "sales_quantity"),
-        "null_stock_quantity": missing(rows, "stock_quantity"),
-        "negative_sales": F.col("sales_quantity") < 0,
-        "negative_stock": F.col("stock_quantity") < 0,
-    }
     sums = {name: F.sum(F.when(c, weight)) for name, c in conditions.items()}
-    sums["duplicate_rows"] = F.sum(weight - 1)
+    sums = {"total_rows": F.sum(weight), **sums, "duplicate_rows": F.sum(weight - 1)}
     return {name: F.coalesce(total, F.lit(0)).cast("bigint") for name, total in sums.items()}
 
 
+def _marks(conditions: dict[str, Column]) -> Column:
+    """The conditions that a row meets, as the bits of one number."""
+    bits = (F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions.values()))
+    return reduce(lambda a, b: a + b, bits)
+
+
+def _marked(df: DataFrame, marks: str) -> dict[str, Column]:
+    """The conditions read back from a column of marks."""
+    return {name: F.col(marks).bitwiseAND(F.lit(1 << i)) != 0 for i, name in enumerate(_conditions(df))}
+
+
+def _distinct_marks(df: DataFrame, **more: Column) -> DataFrame:
+    """One short row per distinct row: its marks, copies and ``more`` numbers that follow from it.
+
+    Rows are told apart by a 128-bit fingerprint, so no row is shuffled whole. Copies
+    collapse map-side.
+    """
+    one, two = fingerprint([F.col(c) for c in df.columns])
+    marks = _marks(_conditions(df)).alias("_marks")
+    short = df.select(one.alias("_one"), two.alias("_two"), marks, *(c.alias(n) for n, c in more.items()))
+    same = [F.max(n).alias(n) for n in ("_marks", *more)]  # equal among copies
+    return short.groupBy("_one", "_two").agg(F.count(F.lit(1)).alias(COPIES), *same)
+
+
 def _named(counters: dict[str, Column]) -> list[Column]:
     return [c.alias(name) for name, c in counters.items()]
 
 
 def profile_dq(df: DataFrame, stage: str = "before_clean") -> DataFrame:
     """The seven counters as one row: one scan and one shuffle for all of them."""
-    rows = distinct_rows(_sale_columns(df))
-    counted = rows.agg(*_named(_counters(rows, F.col(COPIES))))
+    sales = _sale_columns(df)
+    rows = _distinct_marks(sales)
+    counted = rows.agg(*_named(_counters(_marked(sales, "_marks"), F.col(COPIES))))
     return counted.select(F.lit(stage).alias("stage"), *COUNTERS)
 
 
@@ -143,10 +169,13 @@ def _report_rows(before: dict[str, Column], after: dict[str, Column]) -> Column:
     )
 
 
-def report_from_counts(before: dict[str, int], after: DataFrame) -> DataFrame:
-    """Report from raw counters already known and a measured ``profile_dq`` row."""
-    known = {c: F.lit(before[c]).cast("bigint") for c in COUNTERS}
-    return after.select(_report_rows(known, {c: F.col(c) for c in COUNTERS}))
+def report_from_counts(before: dict[str, int], after: dict[str, int], duplicates: DataFrame) -> DataFrame:
+    """Report from counters that runs have observed, and the measured duplicates of the fact."""
+
+    def known(counts: dict[str, int]) -> dict[str, Column]:
+        return {c: F.lit(counts[c]).cast("bigint") for c in COUNTERS}
+
+    return duplicates.select(_report_rows(known(before), known(after) | {"duplicate_rows": F.col("duplicate_rows")}))
 
 
 def dq_report(raw: DataFrame) -> DataFrame:
@@ -154,9 +183,10 @@ def dq_report(raw: DataFrame) -> DataFrame:
 
     The distinct raw rows give the before counters; grouped by what is left of
     them in the fact they give the after counters (rows that cleaning made equal
-    show up as duplicates). Rejected rows share one group, summed map-side.
+    show up as duplicates). Both groupings go by fingerprints, so short rows are
+    shuffled only. Rejected rows share one group, summed map-side.
     """
-    rows = distinct_rows(_sale_columns(raw))
+    raw = _sale_columns(raw)
     sale = {
         "date": parse_date(F.col("date")),
         "product_id": F.col("product_id"),
@@ -169,13 +199,23 @@ def dq_report(raw: DataFrame) -> DataFrame:
     }
     parsed = (sale[c].isNotNull() for c in ("date", "sales_quantity", "stock_quantity"))
     kept = reduce(
-        lambda a, b: a & b, parsed, ~_any_missing(rows, KEY_FIELDS) & _quantities_valid()
+        lambda a, b: a & b, parsed, ~_any_missing(raw, KEY_FIELDS) & F.coalesce(_quantities_valid(), F.lit(False))
+    )
+    one, two = fingerprint(list(sale.values()))
+    rows = _distinct_marks(
+        raw,
+        _kept=kept,
+        _sale_one=F.when(kept, one),
+        _sale_two=F.when(kept, two),
+        _sale_marks=F.when(kept, _marks(_conditions(raw, sale))),
+    )
+    before = _counters(_marked(raw, "_marks"), F.col(COPIES))
+    by_sale = rows.groupBy("_kept", "_sale_one", "_sale_two").agg(
+        F.count(F.lit(1)).alias("_sales"),
+        F.max("_sale_marks").alias("_sale_marks"),
+        *(c.alias(f"_raw_{n}") for n, c in before.items()),
     )
-    before = _counters(rows, F.col(COPIES))
-    by_sale = rows.groupBy(
-        kept.alias("_kept"), *(F.when(kept, value).alias(name) for name, value in sale.items())
-    ).agg(F.count(F.lit(1)).alias("_sales"), *(c.alias(f"_raw_{n}") for n, c in before.items()))
-    after = _counters(by_sale, F.when(F.col("_kept"), F.col("_sales")))
+    after = _counters(_marked(raw, "_sale_marks"), F.when(F.col("_kept"), F.col("_sales")))
     totals = by_sale.agg(
         *(F.coalesce(F.sum(f"_raw_{n}"), F.lit(0)).alias(f"_raw_{n}") for n in COUNTERS),
         *_named(after),
@@ -189,21 +229,42 @@ def clean_and_observe(raw: DataFrame) -> tuple[DataFrame, Observation]:
     """``clean_sales`` that also counts the raw rows while it runs.
 
     The observation sits behind the only shuffle, in the stage that writes the
-    result, where a partition is counted once however often it is retried.
+    result, where a partition is counted once however often it is retried. Rows read
+    with the text of corrupt lines are counted under ``corrupt_rows`` as well.
     """
     observation = Observation("before_clean")
-    rows = distinct_rows(_sale_columns(raw))
-    watched = rows.observe(observation, *_named(_counters(rows, F.col(COPIES))))
+    counts = [F.count(F.lit(1)).alias(COPIES)]
+    figures = []
+    if CORRUPT in raw.columns:
+        counts.append(F.count(CORRUPT).alias(CORRUPT))
+        figures.append(F.coalesce(F.sum(CORRUPT), F.lit(0)).alias("corrupt_rows"))
+    rows = raw.groupBy(*_sale_columns(raw).columns).agg(*counts)
+    watched = rows.observe(observation, *_named(_counters(_conditions(rows), F.col(COPIES))), *figures)
     clean = (
         watched.transform(drop_missing)
         .transform(drop_negative)
-        .drop(COPIES)
+        .drop(COPIES, CORRUPT)
         .transform(cast_quantities)
         .transform(_drop_uncastable)
     )
     return clean, observation
 
 
+def observe_clean(fact: DataFrame) -> tuple[DataFrame, Observation]:
+    """The enriched fact, which counts its own rows and days while it is written."""
+    observation = Observation("after_clean")
+    counters = _counters(_conditions(fact), F.lit(1))
+    days = [F.min("date").cast("string").alias("date_min"), F.max("date").cast("string").alias("date_max")]
+    return fact.observe(observation, *_named(counters), *days), observation
+
+
+def duplicate_sales(fact: DataFrame) -> DataFrame:
+    """One row: how many sales are copies of others in what identifies a sale."""
+    one, two = fingerprint([F.col(c) for c in SALE_COLUMNS])
+    copies = fact.groupBy(one.alias("_one"), two.alias("_two")).agg(F.count(F.lit(1)).alias(COPIES))
+    return copies.agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+
+
 def ingest_report(raw: DataFrame) -> DataFrame:
     """One row per column (position, name, type) with the table's row count."""
     fields = F.array(

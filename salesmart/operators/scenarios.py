@@ -18,7 +18,7 @@ SCENARIOS = [
 ]
 
 # Fixed value: what a rule-based forecast says of its origin.
-EXPLANATION = "Rule-based fallback (no OPENAI_API_KEY or GPT unavailable)."
+EXPLANATION = "Rule-based forecast."
 SCENARIO_NAMES = [name for name, *_ in SCENARIOS]
 
 BASELINE = ["baseline_units", "baseline_stock", "high_demand_products", "baseline_from"]

@@ -1,8 +1,8 @@
 """Grouped summaries of the cleaned, enriched sales fact.
 
 All measures are sums of integers (units, stock, cents, rows), so they combine
-map-side and merge exactly. Distinct counts are exact: Spark expands the row once
-per counted column and collapses each (key, value) pair map-side, so a hot key
+map-side and merge exactly. Distinct counts per group are exact: Spark expands the row
+once per counted column and collapses each (key, value) pair map-side, so a hot key
 leaves a task as its distinct values, never as its rows. Pass
 ``distinct=F.approx_count_distinct`` to trade exactness for a smaller shuffle.
 """
@@ -24,6 +24,7 @@ from salesmart.functions.numeric import (
     sum_money,
     sum_whole,
 )
+from salesmart.functions.rows import bit_of, scalar_over, word_of
 
 Counter = Callable[[str], Column]
 
@@ -83,9 +84,10 @@ def stock_risk_bands(
 ) -> DataFrame:
     """Label rows by two percentiles of ``metric``; at or below the low cut wins.
 
-    The cuts are one scalar subquery, so the plan stays lazy and needs no join.
+    The cuts are one scalar subquery, so the plan stays lazy and needs no join; it
+    reads the same shuffle as the rows that are labelled.
     """
-    cuts = df.agg(F.percentile_approx(metric, [low, high], accuracy).alias("cuts")).scalar()
+    cuts = scalar_over(df, cuts=F.percentile_approx(metric, [low, high], accuracy))["cuts"]
     value = F.col(metric)
     return df.withColumn(
         "stock_risk",
@@ -143,17 +145,15 @@ def top_products(fact: DataFrame, n: int = 20) -> DataFrame:
     """Top ``n`` products by revenue with share and cumulative share of all revenue.
 
     The limit comes first (a distributed top-k), so the ranking window only ever
-    sees ``n`` rows.
+    sees ``n`` rows. The total is a second level over the same sums per product.
     """
     by_product = fact.groupBy("product_id", "product_name").agg(
         F.sum("sales_quantity").alias("units_sold"),
         sum_cents(F.col("revenue")).alias("_cents"),
     )
     # Zero or no revenue divides by one, so shares come out as zero.
-    everything = sum_cents(F.col("revenue"))
-    base = fact.agg(
-        from_cents(F.when(everything != 0, everything).otherwise(100)).alias("base")
-    ).scalar()
+    everything = F.sum("_cents")
+    base = scalar_over(by_product, base=from_cents(F.when(everything != 0, everything).otherwise(100)))["base"]
     order = [F.desc("_cents"), F.asc("product_id"), F.asc("product_name")]
     ranked = Window.orderBy(*order)
     running = F.sum("_cents").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
@@ -178,13 +178,14 @@ def top_products(fact: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def kpis_from_summaries(fact: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
-    """:func:`kpi_snapshot` from the store and product summaries; of the fact, only dates are read.
+def kpis_from_summaries(
+    stores: DataFrame, products: DataFrame, date_min: str | None, date_max: str | None
+) -> DataFrame:
+    """:func:`kpi_snapshot` from the store and product summaries and the first and last day.
 
     Exact as long as a store's revenue is exact to the cent (below 9e13).
     """
     zero = F.lit(0)
-    dates = fact.agg(F.struct(F.min("date").alias("date_min"), F.max("date").alias("date_max")).alias("d"))
     ids = products.agg(F.count_distinct("product_id").alias("n"))
     return stores.agg(
         F.coalesce(F.sum("txn_count"), zero).cast("bigint").alias("transactions"),
@@ -193,21 +194,65 @@ def kpis_from_summaries(fact: DataFrame, stores: DataFrame, products: DataFrame)
         F.count_distinct("store_id").alias("stores"),
         F.count_distinct("warehouse_id").alias("warehouses"),
     ).select(
-        "transactions", "total_units", "total_revenue", ids.scalar().alias("products"),
-        "stores", "warehouses", dates.scalar().alias("d"),
-    ).select("*", "d.*").drop("d")
+        "transactions", "total_units", "total_revenue", ids.scalar().alias("products"), "stores", "warehouses",
+        F.lit(date_min).cast("date").alias("date_min"), F.lit(date_max).cast("date").alias("date_max"),
+    )
+
 
+def kpi_snapshot(fact: DataFrame, distinct: Counter | None = None) -> DataFrame:
+    """One row of headline figures; sums are 0 and dates null without input.
 
-def kpi_snapshot(fact: DataFrame, distinct: Counter = F.count_distinct) -> DataFrame:
-    """One row of headline figures; sums are 0 and dates null without input."""
+    Distinct ids are exact and need no expanded rows: ids are whole numbers, so sales
+    are grouped by the 64 neighbours that each of their three ids is among, with a
+    bitmap for each id, and the bitmaps of the groups are merged. That shrinks the fact
+    as far as ids are dense; where they are scattered over all numbers, pass
+    ``distinct=F.count_distinct`` (or ``F.approx_count_distinct``).
+    """
     zero = F.lit(0)
-    return fact.agg(
+    figures = [
         F.count(F.lit(1)).alias("transactions"),
         F.coalesce(F.sum("sales_quantity"), zero).cast("bigint").alias("total_units"),
-        from_cents(F.coalesce(sum_cents(F.col("revenue")), zero)).alias("total_revenue"),
-        distinct("product_id").alias("products"),
-        distinct("store_id").alias("stores"),
-        distinct("warehouse_id").alias("warehouses"),
+        F.coalesce(sum_cents(F.col("revenue")), zero).alias("_cents"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
+    ]
+    names = {"product_id": "products", "store_id": "stores", "warehouse_id": "warehouses"}
+    if distinct is not None:
+        snapshot = fact.agg(*figures, *(distinct(i).alias(n) for i, n in names.items()))
+    else:
+        words = [word_of(F.col(i)).alias(f"_word_{n}") for i, n in names.items()]
+        bits = [F.bit_or(bit_of(F.col(i))).alias(f"_bits_{n}") for i, n in names.items()]
+        groups = fact.groupBy(*words).agg(*figures, *bits)
+        snapshot = _merged_bitmaps(groups, list(names.values()))
+    return snapshot.select(
+        "transactions", "total_units", from_cents(F.col("_cents")).alias("total_revenue"), *names.values(), "date_min", "date_max"
     )
+
+
+def _merged_bitmaps(groups: DataFrame, names: list[str]) -> DataFrame:
+    """Adds up groups of sales; a group's bitmaps meet those of the same words of other groups."""
+    sums = ["transactions", "total_units", "_cents"]
+
+    def entry(name: str, first: bool) -> Column:
+        """One bitmap; the figures of the group go with the first."""
+        figures = [F.when(F.lit(first), F.col(c)).alias(c) for c in (*sums, "date_min", "date_max")]
+        return F.struct(
+            F.lit(name).alias("_of"), F.col(f"_word_{name}").alias("_word"), F.col(f"_bits_{name}").alias("_bits"), *figures
+        )
+
+    bitmaps = groups.select(F.inline(F.array(*(entry(n, n == names[0]) for n in names))))
+    merged = bitmaps.groupBy("_of", "_word").agg(
+        F.bit_or("_bits").alias("_bits"),
+        *(F.sum(c).alias(c) for c in sums),
+        F.min("date_min").alias("date_min"),
+        F.max("date_max").alias("date_max"),
+    )
+    counts = [
+        F.coalesce(F.sum(F.when(F.col("_of") == n, F.bit_count("_bits"))), F.lit(0)).cast("bigint").alias(n) for n in names
+    ]
+    return merged.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums),
+        F.min("date_min").alias("date_min"),
+        F.max("date_max").alias("date_max"),
+        *counts,
+    ).withColumns({c: F.col(c).cast("bigint") for c in ("transactions", "total_units")})

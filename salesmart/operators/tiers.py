@@ -45,15 +45,15 @@ def default_tolerance(k: int) -> float:
     return math.sqrt(1e-4 / k)
 
 
-def fit_kmeans(
+def fits_by_seed(
     vectors: DataFrame,
     k: int = 3,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
     tol: float | None = None,
     parallelism: int = 10,
-) -> KMeansModel:
-    """Best of several k-means fits by training cost (ties go to the smaller seed).
+) -> list[KMeansModel]:
+    """One k-means fit for each seed, in order.
 
     The fits are many short jobs over the same cached vectors; submitting them
     from several threads keeps the executors busy between iterations.
@@ -64,8 +64,18 @@ def fit_kmeans(
         return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance).fit(vectors)
 
     fits = {str(seed): partial(fit, seed) for seed in seeds}
-    models = concurrently(vectors.sparkSession, fits, parallelism)
-    return min(models.values(), key=lambda m: m.summary.trainingCost)
+    return list(concurrently(vectors.sparkSession, fits, parallelism).values())
+
+
+def fit_kmeans(vectors: DataFrame, **options) -> KMeansModel:
+    """Best of several k-means fits by training cost (ties go to the smaller seed)."""
+    return min(fits_by_seed(vectors, **options), key=lambda m: m.summary.trainingCost)
+
+
+def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The scaled features with their vector."""
+    names = [_scaled_name(f) for f in features]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(scale_features(df, features))
 
 
 def _cached(vectors: DataFrame, partitions: int | None) -> DataFrame:
@@ -85,17 +95,76 @@ def kmeans_clusters(
     partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``cluster``. Fits eagerly on cached vectors; the assignment stays lazy."""
-    scaled = scale_features(df, features)
-    assembler = VectorAssembler(inputCols=[_scaled_name(f) for f in features], outputCol="features")
-    vectors = _cached(assembler.transform(scaled).select("features"), partitions)
+    assembled = _assembled(df, features)
+    vectors = _cached(assembled.select("features"), partitions)
     try:
-        model = fit_kmeans(vectors, k, seeds, max_iter, tol, parallelism)
+        model = fit_kmeans(vectors, k=k, seeds=seeds, max_iter=max_iter, tol=tol, parallelism=parallelism)
     finally:
         vectors.unpersist()
-    assigned = model.setPredictionCol("cluster").transform(assembler.transform(scaled))
+    assigned = model.setPredictionCol("cluster").transform(assembled)
     return assigned.select(*df.columns, "cluster")
 
 
+def seed_costs(df: DataFrame, features: Sequence[str] = TIER_FEATURES, **options) -> list[float]:
+    """The training cost of every seed's fit, for :func:`clustering_check`."""
+    vectors = _cached(_assembled(df, features).select("features"), None)
+    try:
+        return [m.summary.trainingCost for m in fits_by_seed(vectors, **options)]
+    finally:
+        vectors.unpersist()
+
+
+#: How much nearer another centre may be, in deviations: fits stop when centres move by less than a tenth of this.
+NEARER = 0.1
+
+
+def clustering_check(
+    tiered: DataFrame,
+    costs: Sequence[float],
+    features: Sequence[str] = TIER_FEATURES,
+    by: str = "avg_daily_sales",
+    labels: Sequence[str] = TIER_LABELS,
+) -> DataFrame:
+    """Whether tiers are what they promise, measured on the labelled rows alone, as one row.
+
+    ``rows``, ``clusters``, ``unlabelled``; ``misplaced``: rows clearly nearer to the mean
+    of another cluster than to their own; ``cheaper_seeds``: fits (``costs``) whose squared
+    distances add up to less than those of the rows to the means of their clusters;
+    ``mixed_labels``: clusters with other than one label; ``out_of_order``: tiers whose mean
+    ``by`` is not above that of the tier before. All but the first two should be 0.
+    """
+    scaled = scale_features(tiered, features)
+    names = [_scaled_name(f) for f in features]
+    means = scaled.groupBy("cluster").agg(F.array(*(F.avg(n) for n in names)).alias("centre"))
+    centres = means.agg(F.collect_list(F.struct("cluster", "centre")).alias("centres")).scalar()
+    point = F.array(*names)
+
+    def squared(centre):
+        return F.aggregate(F.zip_with(point, centre["centre"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b)
+
+    measured = scaled.withColumn("_centres", centres).select(
+        "*",
+        F.get(F.transform(F.filter("_centres", lambda c: c["cluster"] == F.col("cluster")), squared), F.lit(0)).alias("_own"),
+        F.array_min(F.transform("_centres", squared)).alias("_nearest"),
+    )
+    tier = {t: F.avg(F.when(F.col("demand_level") == t, F.col(by))) for t in labels}
+    cost = F.sum("_own")
+    cheaper = sum((F.when(F.lit(c) < cost * (1 - 1e-9), 1).otherwise(0) for c in costs), F.lit(0))
+    rising = [F.when(tier[b] > tier[a], 0).otherwise(1) for a, b in zip(labels, labels[1:])]
+    labels_of = tiered.groupBy("cluster").agg(F.count_distinct("demand_level").alias("n"))
+    mixed = labels_of.agg(F.count_if(F.col("n") != 1)).scalar()
+    counts = {
+        "rows": F.count(F.lit(1)),
+        "clusters": F.count_distinct("cluster"),
+        "unlabelled": F.count_if(F.col("demand_level").isNull()),
+        "misplaced": F.count_if(F.sqrt("_own") - F.sqrt("_nearest") > NEARER),
+        "cheaper_seeds": cheaper,
+        "out_of_order": sum(rising, F.lit(0)),
+    }
+    checked = measured.agg(*(c.cast("bigint").alias(n) for n, c in counts.items()))
+    return checked.withColumn("mixed_labels", mixed.cast("bigint"))
+
+
 def label_tiers(
     clustered: DataFrame,
     by: str = "avg_daily_sales",

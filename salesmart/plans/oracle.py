@@ -7,17 +7,33 @@ DECIMAL, dimensions use ROW_NUMBER.
 
 from __future__ import annotations
 
-from salesmart.operators.star import FACT_KEYS, NOT_NULL, PRIMARY_KEYS
-from salesmart.schema import TIER_FEATURES
-
 # Fixed values, stated here so that a wrong one in the operator shows.
+TIER_FEATURES = ["total_sales", "avg_daily_sales", "sales_volatility", "avg_stock", "revenue"]
+PRIMARY_KEYS = {
+    "dim_warehouse": "warehouse_id",
+    "dim_store": "store_id",
+    "dim_product": "product_id",
+    "dim_date": "date_id",
+}
+FACT_KEYS = {
+    "date_id": "dim_date",
+    "product_id": "dim_product",
+    "store_id": "dim_store",
+    "warehouse_id": "dim_warehouse",
+}
+NOT_NULL = {
+    "dim_store": ["warehouse_id"],
+    "dim_product": ["product_name", "price"],
+    "dim_date": ["full_date", "year", "month", "day", "weekday"],
+    "fact_sales": ["date_id", "product_id", "store_id", "warehouse_id", "sales_qty", "stock_qty", "revenue"],
+}
 SCENARIOS = [
     ("Normal", 1.05, "low", "Slight growth vs baseline; maintain current replenishment."),
     ("Festival", 1.4, "medium", "Spike in demand; pre-position stock for High-demand products."),
     ("Low demand", 0.8, "low", "Softer sales; reduce inbound to avoid overstock."),
     ("Supply disruption", 0.85, "medium", "Constrained availability; protect High-demand SKUs first."),
 ]
-EXPLANATION = "Rule-based fallback (no OPENAI_API_KEY or GPT unavailable)."
+EXPLANATION = "Rule-based forecast."
 
 
 def _round(x: str, n: int) -> str:
@@ -158,6 +174,83 @@ inventory AS (
         FROM product_clusters))
 """
 
+def _usable(column: str) -> str:
+    """Null and non-finite numbers are no values."""
+    return f"({column} IS NOT NULL AND isfinite({column}))"
+
+
+DIRTY_KEYS = (
+    "(date IS NOT NULL AND product_id IS NOT NULL AND store_id IS NOT NULL AND warehouse_id IS NOT NULL"
+    f" AND {_usable('sales_quantity')} AND {_usable('stock_quantity')} AND {_usable('price')})"
+)
+
+
+def _dirty_counts(stage: str, table: str, distinct: str) -> str:
+    return f"""SELECT '{stage}' AS stage, COUNT(*) AS total_rows,
+        COUNT(*) FILTER (NOT {DIRTY_KEYS}) AS null_any_key_field,
+        COUNT(*) FILTER (NOT {_usable("sales_quantity")}) AS null_sales_quantity,
+        COUNT(*) FILTER (NOT {_usable("stock_quantity")}) AS null_stock_quantity,
+        COUNT(*) FILTER (sales_quantity < 0) AS negative_sales,
+        COUNT(*) FILTER (stock_quantity < 0) AS negative_stock,
+        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT {distinct} FROM {table})) AS duplicate_rows FROM {table}"""
+
+
+SALE = "date, product_id, product_name, store_id, warehouse_id, sales_quantity, stock_quantity, price"
+
+DIRTY_PREFIX = f"""
+WITH lines AS (
+  SELECT l_orderkey AS k, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped,
+         l_partkey AS product_id, l_suppkey AS store_id, s_nationkey AS warehouse_id,
+         CASE WHEN l_orderkey % 300 = 0 THEN NULL ELSE l_quantity END AS qty,
+         CASE WHEN l_orderkey % 600 = 1 THEN CAST(-5 AS DOUBLE)
+              ELSE CAST(20 + (l_orderkey*7 + l_linenumber*13 + l_partkey*3) % 80 AS DOUBLE) END AS stock,
+         p_name, p_retailprice
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+base AS (
+  SELECT k, CASE WHEN k % 110 = 3 THEN 'not a date' WHEN k % 130 = 4 THEN NULL ELSE shipped END AS date,
+         product_id, CASE WHEN k % 70 = 5 THEN NULL ELSE p_name END AS product_name, store_id, warehouse_id,
+         CASE WHEN k % 90 = 6 THEN -qty WHEN k % 100 = 7 THEN 'NaN'::DOUBLE WHEN k % 80 = 8 THEN 3e9::DOUBLE
+              WHEN k % 20 = 9 THEN qty + 0.75 ELSE qty END AS sales_quantity,
+         CASE WHEN k % 120 = 10 THEN NULL WHEN k % 140 = 11 THEN 'Infinity'::DOUBLE
+              WHEN k % 30 = 12 THEN stock + 0.25 ELSE stock END AS stock_quantity,
+         CASE WHEN k % 150 = 13 THEN NULL ELSE p_retailprice END AS price, CAST(NULL AS DOUBLE) AS revenue
+  FROM lines),
+raw AS (
+  SELECT {RAW} FROM base WHERE k % 40 NOT IN (14, 15)
+  UNION ALL SELECT {RAW} FROM base WHERE k % 400 = 2
+  UNION ALL SELECT {RAW.replace("revenue", "copy")} FROM base, (VALUES (3::DOUBLE), (4::DOUBLE), (4::DOUBLE)) c(copy) WHERE k % 40 = 14
+  UNION ALL SELECT {RAW.replace("revenue", "5::DOUBLE")} FROM base WHERE k % 40 = 15
+  UNION ALL SELECT {RAW.replace("sales_quantity", "sales_quantity + 0.5").replace("revenue", "6::DOUBLE")} FROM base WHERE k % 40 = 15),
+clean AS (
+  SELECT date, product_id, product_name, store_id, warehouse_id, CAST(trunc(sales_quantity) AS INT) AS sales_quantity,
+         CAST(trunc(stock_quantity) AS INT) AS stock_quantity, price, revenue
+  FROM (SELECT DISTINCT * FROM raw
+        WHERE {DIRTY_KEYS} AND sales_quantity >= 0 AND stock_quantity >= 0 AND sales_quantity < 2147483648)),
+fact AS (
+  SELECT TRY_CAST(date AS DATE) AS date, product_id, product_name, store_id, warehouse_id, sales_quantity, stock_quantity, price,
+         {_round("sales_quantity * price", 2)} AS revenue,
+         CAST(year(TRY_CAST(date AS DATE)) AS INT) AS year, CAST(month(TRY_CAST(date AS DATE)) AS INT) AS month,
+         CAST(weekofyear(TRY_CAST(date AS DATE)) AS INT) AS week, CAST(dayofweek(TRY_CAST(date AS DATE)) + 1 AS INT) AS day_of_week,
+         CAST(CASE WHEN isodow(TRY_CAST(date AS DATE)) >= 6 THEN 1 ELSE 0 END AS INT) AS is_weekend
+  FROM clean WHERE date <> 'not a date'),
+before_counts AS ({_dirty_counts("before_clean", "raw", "*")}),
+after_counts AS ({_dirty_counts("after_clean", "fact", SALE)})
+"""
+
+DIRTY_BODIES = {
+    "dirty_dq_profile": "SELECT * FROM before_counts",
+    "dirty_dq_report": f"""SELECT a.*, CAST(NULL AS BIGINT) AS rows_removed, CAST(NULL AS DOUBLE) AS pct_removed FROM before_counts a
+        UNION ALL SELECT b.*, a.total_rows - b.total_rows,
+          {_round("100::DOUBLE * (a.total_rows - b.total_rows) / greatest(a.total_rows, 1)", 2)}
+        FROM after_counts b, before_counts a""",
+    "dirty_clean_sales": "SELECT * FROM clean",
+    "dirty_enrich_sales": "SELECT * FROM fact",
+    "dirty_kpi_snapshot": f"""SELECT COUNT(*) AS transactions, {_bigint("COALESCE(SUM(sales_quantity), 0)")} AS total_units,
+        COALESCE({_money()}, 0) AS total_revenue, COUNT(DISTINCT product_id) AS products,
+        COUNT(DISTINCT store_id) AS stores, COUNT(DISTINCT warehouse_id) AS warehouses,
+        MIN(date) AS date_min, MAX(date) AS date_max FROM fact""",
+}
+
 DIMENSION_COUNTS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}"
     for t in ["dim_warehouse", "dim_store", "dim_product", "dim_date", "fact_sales"]
@@ -180,7 +273,7 @@ def _integrity() -> str:
         for t, columns in NOT_NULL.items()
         for c in columns
     ]
-    # Sales are numbered, so every row has a sale_id of its own.
+    # Spark numbers the sales, so that all differ; tests repeat numbers to see the check fail.
     checks.append(check("fact_sales", "unique", "sale_id", "SELECT 0"))
     references = [("dim_store", "warehouse_id", "dim_warehouse")]
     references += [("fact_sales", c, d) for c, d in FACT_KEYS.items()]
@@ -338,6 +431,10 @@ BODIES = {
     "api_tier_counts": "SELECT demand_level, COUNT(*) AS products FROM product_clusters GROUP BY 1",
     "run_query_suite": _suite_rows(),
     "scale_features": _z_scores(),
+    # Promises of k-means and its labels, and how many rows there are to keep them.
+    "kmeans_check": "SELECT COUNT(*) AS rows, 3::BIGINT AS clusters, "
+    + ", ".join(f"0::BIGINT AS {c}" for c in ["unlabelled", "misplaced", "cheaper_seeds", "mixed_labels", "out_of_order"])
+    + " FROM product_features",
     "demand_tier_labels": "SELECT product_id, avg_daily_sales, cluster, demand_level FROM product_clusters",
     "tier_sizes": "SELECT demand_level, COUNT(*) AS products FROM product_clusters GROUP BY 1",
     "tier_scatter": """SELECT product_id, product_name, demand_level, avg_daily_sales, revenue,
@@ -388,9 +485,11 @@ BODIES = {
     + " UNION ALL SELECT 'time_summary', COUNT(*) FROM monthly"
     + " UNION ALL SELECT 'top_products', least(20, COUNT(*)) FROM product_features"
     + " UNION ALL SELECT 'dq_report', 1 UNION ALL SELECT 'dq_stages', 2 UNION ALL SELECT 'kpis', 1"
-    + " UNION ALL SELECT 'scenario_forecast', COUNT(*) FROM forecast",
+    + " UNION ALL SELECT 'scenario_forecast', COUNT(*) FROM forecast"
+    + f" UNION ALL SELECT 'query_suite', COUNT(*) FROM ({_suite_rows()})",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: PREFIX + body for name, body in BODIES.items()}
+    dirty = {name: DIRTY_PREFIX + body for name, body in DIRTY_BODIES.items()}
+    return {name: PREFIX + body for name, body in BODIES.items()} | dirty

@@ -12,7 +12,7 @@ from salesmart.operators import dashboard, quality, scenarios, star, summaries,
 from salesmart.operators.enrich import date_attributes, enrich_sales, snake_case_columns
 from salesmart.plans import batch, sqlsuite
 from salesmart.plans.testtables import fixed_tiers, raw_sales
-from salesmart.schema import FACT_SCHEMA, RAW_CSV_SCHEMA, TIER_FEATURES
+from salesmart.schema import FACT_SCHEMA, RAW_CSV_SCHEMA, SALE_COLUMNS, TIER_FEATURES
 from salesmart.sources.readers import load_processed, read_sales
 from salesmart.sources.tables import (
     append_table,
@@ -37,6 +37,10 @@ def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_tiers(_features(spark, sf_dir))
 
 
+def _on_dirty(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(raw_sales(spark, sf_dir, dirty=True))
+
+
 def _on_raw(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(raw_sales(spark, sf_dir))
 
@@ -54,10 +58,15 @@ def _report(name: str) -> Query:
 
 
 def _star_views(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """The views that a query names; a fact that several of them read is written once."""
     text = sqlsuite.QUERIES[name]
+    named = [t for t in (*star.TABLES, "product_clusters") if t in text]
     fact = _fact(spark, sf_dir)
-    tables = {t: df for t, df in star.build_star(fact).items() if t in text}
-    if "product_clusters" in text:
+    if len(named) > 1:
+        path = scratch_dir(spark, name) + "/fact"
+        fact = write_table(fact.select(*SALE_COLUMNS, "revenue"), path)
+    tables = {t: df for t, df in star.build_star(fact).items() if t in named}
+    if "product_clusters" in named:
         tables["product_clusters"] = fixed_tiers(summaries.product_features(fact))
     sqlsuite.register_views(tables)
 
@@ -105,13 +114,15 @@ def sink_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table filled with other rows, replaced by the weekday sales, appended the weekend."""
+    """A table filled with other rows, replaced by its own weekdays, appended the weekend by a run that is repeated."""
     path = scratch_dir(spark, "replace") + "/daily"
     fact = _fact(spark, sf_dir)
     daily = fact.groupBy("date", "is_weekend").agg(F.sum("sales_quantity").alias("units"))
-    replace_table(daily, path)
-    replace_table(daily.filter("is_weekend = 0"), path)
-    return append_table(daily.filter("is_weekend = 1"), path)
+    weekend = daily.filter("is_weekend = 1")
+    replaced = replace_table(daily, path)
+    replace_table(replaced.filter("is_weekend = 0"), path)
+    append_table(weekend, path, run_id="weekend")
+    return append_table(weekend, path, run_id="weekend")
 
 
 def processed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +230,13 @@ def kmeans_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.demand_tiers(_written_features(spark, sf_dir))
 
 
+def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the tiers of k-means whatever its seeds find."""
+    features = _written_features(spark, sf_dir)
+    tiered = write_table(tiers.demand_tiers(features), scratch_dir(spark, "tiers") + "/products")
+    return tiers.clustering_check(tiered, tiers.seed_costs(features))
+
+
 def fixed_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelling step on given clusters."""
     clustered = _tiered(spark, sf_dir).drop("demand_level")
@@ -272,6 +290,12 @@ def queries() -> dict[str, Query]:
         "cast_quantities": _on_raw(quality.cast_quantities),
         "clean_sales": _on_raw(quality.clean_sales),
         "dq_report": _on_raw(quality.dq_report),
+        # The same on rows with every kind of dirt.
+        "dirty_dq_profile": _on_dirty(quality.profile_dq),
+        "dirty_dq_report": _on_dirty(quality.dq_report),
+        "dirty_clean_sales": _on_dirty(quality.clean_sales),
+        "dirty_enrich_sales": _on_dirty(lambda raw: enrich_sales(quality.clean_sales(raw))),
+        "dirty_kpi_snapshot": _on_dirty(lambda raw: summaries.kpi_snapshot(enrich_sales(quality.clean_sales(raw)))),
         "require_columns": checked_features,
         "fill_missing_features": blanked_features,
         "enrich_sales": _fact,
@@ -295,6 +319,7 @@ def queries() -> dict[str, Query]:
         "scale_features": scaled,
         "kmeans_clusters": kmeans_assignment,
         "demand_tiers": kmeans_tiers,
+        "kmeans_check": kmeans_check,
         "demand_tier_labels": fixed_cluster_labels,
         "tier_sizes": _on_tiers(tiers.tier_sizes),
         "tier_scatter": _on_tiers(tiers.tier_scatter),

@@ -122,3 +122,27 @@ def test_extreme_sales_do_not_end_the_run(spark, raw_of, tmp_path):
     assert result.kpis["total_revenue"] == pytest.approx(2e17, rel=1e-6)
     volatility = {r.product_id: r.sales_volatility for r in result.outputs["product_features"].collect()}
     assert set(volatility.values()) == {0.0}
+
+
+def test_run_full_writes_the_suite(spark, run):
+    _, folder = run
+    tables = batch.run_full(spark, f"{folder}/raw", f"{folder}/suite", seeds=range(1))
+    suite = {r.query: r for r in tables["query_suite"].collect()}
+    assert set(suite) == set(sqlsuite.QUERIES) and {r.status for r in suite.values()} == {"ok"}
+    for name, row in suite.items():
+        assert spark.read.parquet(f"{folder}/suite/queries/{name}").count() == row.row_count
+
+
+def test_corrupt_lines_are_counted(spark, tmp_path):
+    header = ",".join(RAW_CSV_SCHEMA.fieldNames())
+    good = "2026-06-06,1,Product_1,2,3,4.0,50,9.99,39.96"
+    lines = [header, good, good, good.replace("9.99", "cheap"), good + ",more", good.replace(",1,", ",2,")]
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    result = batch.run_pipeline(spark, str(tmp_path / "raw.csv"), str(tmp_path / "out"))
+    assert (result.raw_rows, result.corrupt_rows, result.clean_rows) == (5, 2, 2)
+
+
+def test_an_empty_run(spark, raw_of, tmp_path):
+    result = batch.run_pipeline(spark, raw_of({"price": None}), str(tmp_path))
+    assert (result.raw_rows, result.clean_rows, result.corrupt_rows) == (1, 0, 0)
+    assert result.kpis["date_min"] is None and result.kpis["total_units"] == 0

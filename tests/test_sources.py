@@ -104,3 +104,68 @@ def test_write_table_returns_what_was_written(spark, tmp_path):
     for file_format in ("parquet", "csv", "json"):
         back = tables.write_table(df, str(tmp_path / file_format), file_format)
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def _failing(spark):
+    """Two partitions, of which the second can't be written."""
+    return spark.range(0, 10, 1, 2).select(F.when(F.col("id") < 7, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).alias("id"))
+
+
+def _ids(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), path)
+    for write in (tables.replace_table, tables.write_table, lambda df, p: tables.append_table(df, p, "r1")):
+        with pytest.raises(Exception, match="broken"):
+            write(_failing(spark), path)
+        assert _ids(spark.read.parquet(path)) == [0, 1, 2]
+    assert os.listdir(tmp_path) == ["t"]
+
+
+def test_a_table_may_be_replaced_by_rows_of_its_own(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = tables.replace_table(spark.range(10), path)
+    assert _ids(tables.replace_table(old.where("id > 6"), path)) == [7, 8, 9]
+
+
+def test_a_replacement_cut_off_between_its_moves_is_recovered(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), path)
+    os.rename(path, f"{path}.replaced")
+    tables.recover_table(spark, path)
+    assert _ids(spark.read.parquet(path)) == [0, 1, 2]
+    os.rename(path, f"{path}.replaced")
+    assert _ids(tables.append_table(spark.range(3, 4), path, "late")) == [0, 1, 2, 3]
+
+
+def test_a_repeated_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), path)
+    tables.append_table(spark.range(3, 5, 1, 2), path, "monday")
+    tables.append_table(spark.range(3, 5), path, "monday")
+    assert _ids(tables.append_table(spark.range(5, 6), path, "tuesday")) == [0, 1, 2, 3, 4, 5]
+    # What an attempt that did not finish left behind goes.
+    os.remove(f"{path}/_runs/tuesday")
+    assert _ids(tables.append_table(spark.range(7, 9), path, "tuesday")) == [0, 1, 2, 3, 4, 7, 8]
+    with pytest.raises(ValueError, match="run id"):
+        tables.append_table(spark.range(1), path, "../x")
+
+
+LEAVES_NOTHING = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", "{folder}").config("spark.ui.enabled", "false").getOrCreate()
+print(e.queries()["sink_table"](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+def test_scratch_goes_with_the_driver(tmp_path):
+    import subprocess
+    import sys
+
+    run = subprocess.run([sys.executable, "-c", LEAVES_NOTHING.format(folder=tmp_path)], capture_output=True, text=True)
+    assert run.returncode == 0 and int(run.stdout.split()[-1]) > 0, run.stderr
+    assert [f for _, _, files in os.walk(tmp_path) for f in files] == []

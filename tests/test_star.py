@@ -56,3 +56,12 @@ def test_sale_ids_are_unique(fact_of):
     sales = star.fact_sales(fact_of(*({"product_id": i} for i in range(30))), with_sale_id=True)
     ids = [r.sale_id for r in sales.collect()]
     assert len(set(ids)) == 30
+
+
+def test_repeated_and_missing_sale_ids_are_counted(spark, fact_of):
+    tables = star.build_star(fact_of(*({"product_id": i} for i in range(200))), with_sale_id=True)
+    numbered = tables["fact_sales"].withColumn("sale_id", F.col("product_id").cast("bigint"))
+    for sale_id, violations in ((F.col("sale_id"), 0), (F.col("sale_id") % 150, 50), (F.lit(-1), 199), (F.lit(None).cast("bigint"), 200)):
+        tables["fact_sales"] = numbered.withColumn("sale_id", sale_id)
+        found = _violations(star.star_integrity(tables)).get(("fact_sales", "unique", "sale_id"), 0)
+        assert found == violations

@@ -64,3 +64,24 @@ def test_scatter_legend(spark):
     )
     legends = [r.legend for r in tiers.tier_scatter(df).orderBy("product_id").collect()]
     assert legends == ["Low (2)", "Low (2)", "High (1)"]
+
+
+def test_check_sees_wrong_tiers(spark, features):
+    """All zero for the fitted tiers; each kind of harm done to them shows."""
+    from pyspark.sql import functions as F
+
+    tiered = tiers.demand_tiers(features, seeds=range(3)).cache()
+    costs = tiers.seed_costs(features, seeds=range(3))
+    check = lambda df, costs=costs: tiers.clustering_check(df, costs).first().asDict()
+    good = check(tiered)
+    assert (good["rows"], good["clusters"]) == (120, 3)
+    assert all(v == 0 for k, v in good.items() if k not in ("rows", "clusters"))
+
+    one = F.col("product_id") == 0
+    assert check(tiered.withColumn("cluster", F.when(one, (F.col("cluster") + 1) % 3).otherwise(F.col("cluster"))))["misplaced"] == 1
+    swapped = F.when(F.col("demand_level") == "Low", "High").when(F.col("demand_level") == "High", "Low").otherwise("Medium")
+    assert check(tiered.withColumn("demand_level", swapped))["out_of_order"] == 2
+    assert check(tiered.withColumn("demand_level", F.when(~one, F.col("demand_level"))))["unlabelled"] == 1
+    assert check(tiered.withColumn("demand_level", F.when(one, "High").otherwise(F.col("demand_level"))))["mixed_labels"] == 1
+    assert check(tiered, [costs[0] / 2, *costs])["cheaper_seeds"] == 1
+    assert check(tiered.withColumn("cluster", F.lit(0)))["clusters"] == 1
