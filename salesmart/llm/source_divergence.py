@@ -149,22 +149,31 @@ def pair_sums(row: np.ndarray, column: np.ndarray, value: np.ndarray, unseen: np
     height = max(rows - 1, columns - 1, 1).bit_length()
     tree, order = Tree.build(row, column, height)
     value = value[order]
-    leaves = np.zeros((rows, rows), np.int64)
-    empty = [np.zeros((-(-rows >> height - level),) * 2, np.int64) for level in range(height + 1)]
+    leaves = np.zeros(rows * rows, np.int64)
+    sides = [(rows - 1 >> height - level) + 1 for level in range(height + 1)]  # of the rows, in quadrants
+    empty = [np.zeros(n * n, np.int64) for n in sides]
+
+    def add(to: np.ndarray, x: np.ndarray, y: np.ndarray, side: int, amount: np.ndarray) -> None:
+        # Sums of at most NODES_AT_ONCE values up to about SCALE are exact in doubles.
+        to += np.bincount(x * side + y, amount, len(to)).astype(np.int64)
+
     root = np.zeros(1, np.int64)
-    work = [(0, root, root, root, root - (not len(row)), root - (not len(row)))]  # level, rows a and b, column, their nodes
+    held = root - (not len(row))
+    work = [(0, [root, root, root, held, held])]  # level, rows a and b, column, their nodes
     while work:
-        level, *nodes = work.pop()
-        if len(nodes[0]) > NODES_AT_ONCE:
-            work += [(level, *(n[at : at + NODES_AT_ONCE] for n in nodes)) for at in range(0, len(nodes[0]), NODES_AT_ONCE)]
+        level, nodes = work.pop()
+        if len(nodes[0]) > NODES_AT_ONCE // 8:
+            step = NODES_AT_ONCE // 8
+            work += [(level, [n[at : at + step] for n in nodes]) for at in range(0, len(nodes[0]), step)]
             continue
         a, b, c, node_a, node_b = nodes
         if level == height:
             p = np.where(node_a >= 0, value[node_a], unseen[a]) if len(value) else unseen[a]
             q = np.where(node_b >= 0, value[node_b], unseen[b]) if len(value) else unseen[b]
-            np.add.at(leaves, (a, b), np.abs(p - q))
+            add(leaves, a, b, rows, np.abs(p - q))
             continue
         side = height - level - 1  # of the children, as a power of two
+        below = []
         for da, db, dc in product((0, 1), repeat=3):
             x, y, z = 2 * a + da, 2 * b + db, 2 * c + dc
             wanted = (x <= y) & (y << side < rows) & (z << side < columns)
@@ -175,14 +184,18 @@ def pair_sums(row: np.ndarray, column: np.ndarray, value: np.ndarray, unseen: np
             x, y, z = x[wanted], y[wanted], z[wanted]
             in_a, in_b = tree.child(level, node_a[wanted], 2 * da + dc), tree.child(level, node_b[wanted], 2 * db + dc)
             none = (in_a < 0) & (in_b < 0)
-            width = np.minimum(z[none] + 1 << side, columns) - (z[none] << side)
-            np.add.at(empty[level + 1], (x[none], y[none]), width)
+            add(empty[level + 1], x[none], y[none], sides[level + 1], np.minimum(z[none] + 1 << side, columns) - (z[none] << side))
             some = ~none
-            if some.any():
-                work.append((level + 1, x[some], y[some], z[some], in_a[some], in_b[some]))
+            below.append([n[some] for n in (x, y, z, in_a, in_b)])
+        found = [np.concatenate(n) for n in zip(*below)]
+        if len(found[0]):
+            work.append((level + 1, found))
     place = np.arange(rows)
-    apart = sum(empty[level][np.ix_(place >> height - level, place >> height - level)] for level in range(height + 1))
-    return leaves + apart * np.abs(unseen[:, None] - unseen[None, :])
+    apart = np.zeros((rows, rows), np.int64)
+    for level, (n, priced) in enumerate(zip(sides, empty)):
+        own = place >> height - level
+        apart += priced.reshape(n, n)[np.ix_(own, own)]
+    return leaves.reshape(rows, rows) + apart * np.abs(unseen[:, None] - unseen[None, :])
 
 
 PAIRS = "lang string, a int, b int, value bigint"

@@ -97,7 +97,7 @@ def test_pair_sums(seed, monkeypatch):
     """The joint walk against the dense matrix, also where it is cut into small parts."""
     rng = np.random.default_rng(seed)
     if seed % 2:
-        monkeypatch.setattr(source_divergence, "NODES_AT_ONCE", 5)
+        monkeypatch.setattr(source_divergence, "NODES_AT_ONCE", 40)
     rows, columns = int(rng.integers(2, 14)), int(rng.integers(0, 40))
     held = rng.random((rows, columns)) < rng.choice([0.02, 0.3, 1.0])
     dense = np.where(held, rng.integers(1, 10**9, (rows, columns)), 0)
