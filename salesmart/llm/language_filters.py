@@ -231,7 +231,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> B
         for batch in batches:
             of = {c: batch.column(c).to_pylist() for c in ("text", "lang")}
             at = 0
-            for some in _by_size(of["text"], 1 << 22):
+            for some in _by_size(of["text"]):
                 lang = np.array([languages.index(x) for x in of["lang"][at : at + len(some)]], np.int32)
                 at += len(some)
                 names, owner, _ = grams(some)

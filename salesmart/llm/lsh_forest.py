@@ -44,9 +44,11 @@ LEAF = 256
 CROWDED_DEPTH = 3
 #: Counters that order shingles by how common they are, and rows of a shingle in one block.
 COUNTERS = 1 << 20
-BLOCK = 2048
-#: Pairs compared at once.
-PAIRS_AT_ONCE = 1 << 18
+BLOCK = 1024
+#: Pairs whose sketches, and whose larger maps, are compared at once.
+PAIRS_AT_ONCE, MAPS_AT_ONCE = 1 << 15, 1 << 12
+#: Bytes that agree in pairs joined at once, and pairs that wait for others.
+SURE, WAITING = 52, 1 << 16
 #: Bytes of a class's sketch (the first levels of all trees), and how many must agree.
 SKETCH = 64
 SKETCH_LEVELS = SKETCH // TREES
@@ -167,8 +169,8 @@ def agreeing(sketch: np.ndarray, size: np.ndarray, reach: np.ndarray) -> Iterato
     rows = np.arange(len(sketch))
     step = 1
     while len(rows := rows[reach[rows] > rows + step]):
-        for at in range(0, len(rows), 1 << 16):
-            a = rows[at : at + (1 << 16)]
+        for at in range(0, len(rows), PAIRS_AT_ONCE):
+            a = rows[at : at + PAIRS_AT_ONCE]
             b = a + step
             fits = 100 * np.minimum(size[a], size[b]) >= 80 * np.maximum(size[a], size[b])
             a, b = a[fits], b[fits]
@@ -179,21 +181,60 @@ def agreeing(sketch: np.ndarray, size: np.ndarray, reach: np.ndarray) -> Iterato
         step += 1
 
 
-def forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs, most agreeing first."""
-    root: dict[int, int] = {}
+class Forest:
+    """A spanning forest of pairs that come in parts; beside the last parts it holds one number a node.
 
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
+    Pairs that agree well are joined at once, the others when many have come, those
+    that agree most first; pairs within a tree of the forest are let go.
+    """
 
-    order = np.argsort(-agree, kind="stable")
-    for x, y in zip(a[order].tolist(), b[order].tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            root[q] = p
-            yield x, y
+    def __init__(self, nodes: int):
+        self.up = np.arange(nodes)
+        self.waiting = np.empty((3, 0), np.int64)
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        root = self.up[nodes]
+        while (above := self.up[root]).size and (above != root).any():
+            root = above
+        self.up[nodes] = root
+        return root
+
+    def _apart(self, pairs: np.ndarray) -> np.ndarray:
+        """Of the pairs (a, b, agree) between different trees, the one of any two trees that agrees most."""
+        pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
+        p, q = self.roots(pairs[0]), self.roots(pairs[1])
+        names = np.minimum(p, q) * len(self.up) + np.maximum(p, q)
+        first = np.sort(np.unique(names, return_index=True)[1])
+        return pairs[:, first[p[first] != q[first]]]
+
+    def _join(self, pairs: np.ndarray) -> np.ndarray:
+        """Joins them in order; returns those that connected two trees."""
+        up, kept = self.up, []
+        for i, (x, y) in enumerate(zip(pairs[0].tolist(), pairs[1].tolist())):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[y] = x
+                kept.append(i)
+        return pairs[:2, kept]
+
+    def add(self, pairs: np.ndarray) -> np.ndarray:
+        """Takes pairs (a, b, agree); returns links found so far, as (a, b)."""
+        sure = pairs[2] >= SURE
+        found = [self._join(self._apart(pairs[:, sure]))]
+        self.waiting = np.concatenate([self.waiting, pairs[:, ~sure]], axis=1)
+        if self.waiting.shape[1] > WAITING:
+            self.waiting = self._apart(self.waiting)
+            if self.waiting.shape[1] > WAITING // 2:
+                found.append(self.rest())
+        return np.concatenate(found, axis=1)
+
+    def rest(self) -> np.ndarray:
+        links = self._join(self._apart(self.waiting))
+        self.waiting = self.waiting[:, :0]
+        return links
 
 
 def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +253,15 @@ def can_link(a: np.ndarray, b: np.ndarray, maps: np.ndarray, size: np.ndarray, l
     Common shingles set common bits, but for those that share a bit with another
     one of their set; ``lost`` counts a set's shingles beyond its bits.
     """
-    common = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(lost[a], lost[b])
+    common = np.minimum(lost[a], lost[b])
+    for at in range(0, len(a), MAPS_AT_ONCE):
+        some = slice(at, at + MAPS_AT_ONCE)
+        common[some] += np.bitwise_count(maps[a[some]] & maps[b[some]]).sum(axis=1, dtype=np.int64)
     return 180 * common >= 80 * (size[a] + size[b])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
-    """Distinct candidate pairs of a sorted partition: a forest of them, or those across components."""
+    """Candidate pairs of a sorted partition: a forest of them, or those across components."""
     own = [b for b in batches if b.num_rows]
     if not own:
         return
@@ -229,18 +273,24 @@ def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
         part = table.column("component").to_numpy()
         maps = np.frombuffer(b"".join(table.column("map").to_pylist()), "<u8").reshape(-1, MAP_BITS // 64)
         lost = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-    found: list[np.ndarray] = [np.empty((3, 0), np.int64)]
-    for a, b, agree in agreeing(sketch, size, reaches(keys, table.column("tree").to_numpy())):
-        if across:
+    pairs = agreeing(sketch, size, reaches(keys, table.column("tree").to_numpy()))
+    if across:
+        for a, b, _ in pairs:
             apart = np.flatnonzero(part[a] != part[b])
             apart = apart[can_link(a[apart], b[apart], maps, size, lost)]
-            a, b, agree = a[apart], b[apart], agree[apart]
-        found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), agree]))
-    pairs = np.unique(np.concatenate(found, axis=1).T, axis=0)
-    if not across:
-        pairs = np.array(list(forest(*pairs.T)), np.int64)
-    pairs = pairs.reshape(-1, 3 if across else 2)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield _pairs_batch(rep[a[apart]], rep[b[apart]])
+        return
+    reps, node = np.unique(rep, return_inverse=True)
+    links = Forest(len(reps))
+    for a, b, agree in pairs:
+        yield _pairs_batch(*reps[links.add(np.stack([node[a], node[b], agree]))])
+    yield _pairs_batch(*reps[links.rest()])
+
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the smaller one first."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _forest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,9 +458,7 @@ def _pairs_of_blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
         close = (sketch[a] == sketch[b]).sum(axis=1) >= AGREE
         a, b = a[close], b[close]
         may = can_link(a, b, maps, size, lost)
-        a, b = a[may], b[may]
-        pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        yield _pairs_batch(rep[a[may]], rep[b[may]])
         at = to
 
 
