@@ -28,7 +28,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity_chain.fit(docs, labels, CATEGORIES, shared_folder(spark, "stage-toxicity"))
-    return chain.predict(docs).where(~toxicity_chain.toxic()).select(*docs.columns)
+    # Under plain names, so that no column of the documents has the name of a probability.
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    told = chain.predict(docs.toDF(*plain.values()), text=plain["text"])
+    return told.where(~toxicity_chain.toxic()).select(*plain.values()).toDF(*plain)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +43,32 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language_filters.in_known_language(docs, model, language_filters.usual_rates(docs, model))
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, longer where the documents have a column of that name."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group, one row of it, and all rows without a doc_id."""
-    found = lsh_forest.near_duplicates(docs, shared_folder(spark, "stage-near-copies"), words=SHINGLE_WORDS)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    one_each = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps the row of the smallest doc_id of each group, and all rows without a doc_id.
+
+    Rows are documents of their own, also where a doc_id repeats: then numbers in the
+    order of doc_id (and of a hash of the text, and of the row) tell them apart.
+    """
+    folder = shared_folder(spark, "stage-near-copies")
+    named, key = docs.where("doc_id is not null"), "doc_id"
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        key, tie = _unused(docs, "row"), _unused(docs, "tie")
+        order = ["doc_id", F.xxhash64("text"), tie]
+        rows = named.withColumn(tie, F.monotonically_increasing_id())
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(tie)
+        named = written(rows.withColumn(key, F.monotonically_increasing_id()), f"{folder}/rows")
+    found = lsh_forest.near_duplicates(named, f"{folder}/groups", key=key, words=SHINGLE_WORDS)
+    kept_key = _unused(named, "kept")
+    kept = found.where("kept").select(F.col("doc_id").alias(kept_key))
+    one_each = named.join(kept, F.col(key) == F.col(kept_key), "left_semi").select(*docs.columns)
     return one_each.unionByName(docs.where("doc_id is null"))
 
 
