@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from salesmart.llm.segments import SegmentMemo
 from salesmart.llm.shared import with_fields
-from salesmart.llm.tokens import byte_symbols, id_type, uncut
+from salesmart.llm.tokens import byte_symbols, check_file, id_type, uncut
 
 #: Fixed value: the split pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,6 +80,8 @@ class MergeAutomaton:
         if u not in self.reached or v not in self.reached:
             return  # a part that no text can spell
         s = self.reached[u]
+        if w in self.reached or not self.has_arc(s, v):
+            return  # made by an earlier merge, or v never follows u any more
         self.left[w], self.rank[w] = u, rank
         self.reached[w] = s if u == v else self.reached[v]
         self.copy_of.append(s)
@@ -164,9 +166,8 @@ class AutomatonTokenizer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             file = json.load(source)
-        model, split = file["model"], file["pre_tokenizer"]
-        if model["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"]:
-            raise ValueError("a byte-level BPE file without prefix space is needed")
+        model = file["model"]
+        check_file(file)
         byte_of = {symbol: byte for byte, symbol in byte_symbols().items()}
         spell = lambda token: bytes(byte_of[c] for c in token)
         vocab = model["vocab"]
@@ -249,7 +250,11 @@ DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 str
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document: number of ids, digest of the ids, digest of the text they decode to."""
+    """Per document: number of ids, digest of the ids, digest of the text they decode to.
+
+    A null text is an empty one, of no ids. Each row is a document, also one with a null
+    doc_id or one that others have, too; other columns are ignored; an empty table gives no row.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = automaton_tokenizer(tokenizer)

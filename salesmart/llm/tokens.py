@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -39,6 +40,26 @@ def uncut(token: str) -> bool:
     return not (chunk_starts(data, np.array([0, len(data)])) > 1).any()
 
 
+def check_file(file: dict) -> None:
+    """Raises for a tokenizer file whose texts can't be cut and encoded as here."""
+    model, split = file["model"], file["pre_tokenizer"] or {}
+    wrong = {
+        "no byte-level BPE": model.get("type", "BPE") != "BPE" or split.get("type") != "ByteLevel",
+        "a prefix space": split.get("add_prefix_space"),
+        "another split pattern": not split.get("use_regex", True),
+        "a normalizer": file.get("normalizer"),
+        "dropout": model.get("dropout"),
+        "merges ignored for known words": model.get("ignore_merges"),
+        "bytes as tokens": model.get("byte_fallback"),
+        "affixes of words": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"),
+        "added tokens that take in what is around them": any(
+            t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens") or []
+        ),
+    }
+    if found := [name for name, is_so in wrong.items() if is_so]:
+        raise ValueError(f"unsupported tokenizer file: {', '.join(found)}")
+
+
 class TextEncoder:
     """Encodes columns of whole texts, null as empty, without special tokens around them."""
 
@@ -46,6 +67,8 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as source:
+            check_file(json.load(source))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
