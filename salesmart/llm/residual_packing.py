@@ -5,6 +5,11 @@ pieces best fit, longest first, and emits the bins that are nearly full. The bin
 left underfull go on as items of their own: groups of partitions form a tree, and
 at each of its levels a group packs the underfull bins of its members again. Only
 lengths travel; a bin that was packed into another is a shift of its pieces.
+
+Best fit leaves one bin at most that is half full or less, and two fuller ones do not
+fit into one. So a group of later levels has one bin of each member to place, and of
+bins that are equally full no more than one for each of those can be of use. The others are
+emitted, which bounds what is handed on and changes no result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,6 @@ CAPACITY = 2048
 NEARLY_FULL = 0.995
 #: Partitions or groups that one group of the next level merges.
 FAN_IN = 8
-#: Emptiest bins that a group hands on; fuller ones beyond are emitted. Bounds the root.
-HANDED_ON = 4096
 #: A bin's number is its partition's times this plus its place there.
 BINS_PER_PARTITION = 1 << 33
 
@@ -43,7 +46,10 @@ def cut_lengths(n_tokens: int, capacity: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document's ids with the end id; null texts are empty."""
+    """The pieces of every document's ids with the end id; null texts are empty.
+
+    Each row is a document, also one with a null doc_id or one that others have, too.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer)
@@ -95,6 +101,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, places
 
 
+def _levels(groups: int, fan_in: int) -> int:
+    """Levels of the tree above that many groups."""
+    return 0 if groups <= 1 else 1 + _levels(-(-groups // fan_in), fan_in)
+
+
 PLACED = PIECES + ", bin bigint, offset bigint"
 MOVED = "bin bigint, into bigint, shift bigint, length bigint, open boolean, grp bigint"
 
@@ -110,18 +121,23 @@ def _pack_partition(capacity: int):
     return pack
 
 
-def _pack_group(capacity: int, nearly_full: float, handed_on: int, last: bool):
+def _of_use(totals: np.ndarray, equals: int) -> np.ndarray:
+    """Marks ``equals`` bins of each total."""
+    order = np.argsort(totals, kind="stable")
+    ranked = totals[order]
+    useful = np.empty(len(totals), bool)
+    useful[order] = np.arange(len(totals)) - np.searchsorted(ranked, ranked) < equals
+    return useful
+
+
+def _pack_group(capacity: int, nearly_full: float, equals: int):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin", ignore_index=True)
         bins, places = best_fit(rows["length"].to_numpy(), capacity)
         total = np.bincount(bins, weights=rows["length"], minlength=1).astype(np.int64)
         heads = np.full(len(total), -1, np.int64)
         heads[bins[::-1]] = rows["bin"].to_numpy()[::-1]  # a bin is named after its first member
-        open_ = total < nearly_full * capacity
-        if last:
-            open_[:] = False
-        elif open_.sum() > handed_on:
-            open_[np.argsort(total, kind="stable")[handed_on:]] = False
+        open_ = (total < nearly_full * capacity) & _of_use(total, equals)
         return pd.DataFrame({
             "bin": rows["bin"], "into": heads[bins], "shift": places, "length": total[bins], "open": open_[bins],
             "grp": rows["grp"],
@@ -136,13 +152,13 @@ def pack(
     capacity: int = CAPACITY,
     nearly_full: float = NEARLY_FULL,
     fan_in: int = FAN_IN,
-    handed_on: int = HANDED_ON,
 ) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the rows of :func:`pieces`.
 
     ``cut`` is a table: its partitions are the leaves of the tree. Sequence ids
     are unique and otherwise any numbers; offsets in a sequence have no gap. An
-    empty table gives no row. Packing reorders and shifts rows, it drops none.
+    empty table gives no row. Packing reorders and shifts rows, it drops none; a null
+    doc_id and repeated ones are pieces like others.
     """
     leaves = cut.rdd.getNumPartitions()
     placed = written(cut.mapInPandas(_pack_partition(capacity), PLACED), f"{folder}/leaves")
@@ -155,7 +171,7 @@ def pack(
     moves, groups, level = None, leaves, 0
     while groups > 1:
         groups, level = -(-groups // fan_in), level + 1
-        step = _pack_group(capacity, nearly_full, handed_on, last=groups == 1)
+        step = _pack_group(capacity, nearly_full, fan_in * _levels(groups, fan_in))
         merged = items.withColumn("grp", F.floor(F.col("grp") / fan_in)).groupBy("grp").applyInPandas(step, MOVED)
         merged = written(merged, f"{folder}/level-{level}")
         items = merged.where("open").groupBy(F.col("into").alias("bin"), "grp").agg(F.first("length").alias("length"))
