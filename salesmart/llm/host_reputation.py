@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesmart.llm.shared import shared_folder, written
+
 #: Pages that a level's prior counts for, at least and at most.
 WEAKEST, STRONGEST = 0.5, 10_000.0
 #: Standard deviations from the posterior's mean to its lower bound (one-sided 95 %).
@@ -111,14 +113,15 @@ def _posterior(members: DataFrame) -> DataFrame:
 
 
 def host_reputations(
-    pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = (), deviations: float = DEVIATIONS
+    pages: DataFrame, outcomes: DataFrame, folder: str, suffixes: Sequence[str] = (), deviations: float = DEVIATIONS
 ) -> DataFrame:
     """host, domain, suffix, n, bad, rate, bound for every host of ``pages`` (page_id, host).
 
     ``outcomes`` (page_id, bad boolean) labels pages; a page labelled several times is
     bad if one of its labels says so, labels without a page, null ids and null labels
     count for nothing, a page_id on several rows counts for each. Without any labelled
-    page every rate is 0. An empty host is a host of its own.
+    page every rate is 0. An empty host is a host of its own. The counts of hosts and the
+    rates of domains are tables below ``folder``, as the priors read them several times.
     """
     labelled = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.groupBy("page_id", "host").agg(F.count(F.lit(1)).alias("rows"))
@@ -130,6 +133,7 @@ def host_reputations(
     hosts = hosts.unionByName(counted).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = written(hosts, f"{folder}/hosts")
 
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
@@ -137,9 +141,10 @@ def host_reputations(
     overall = by_suffix.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("rate")).scalar()
 
     top = _posterior(by_suffix.withColumn("prior", overall))
-    middle = domains.join(top.select("suffix", F.col("rate").alias("prior")), "suffix")
+    middle = written(domains.join(top.select("suffix", F.col("rate").alias("prior")), "suffix"), f"{folder}/domains")
     middle = _posterior(middle)
-    lowest = _posterior(hosts.join(middle.select("domain", F.col("rate").alias("prior")), "domain"))
+    members = hosts.join(middle.select("domain", F.col("rate").alias("prior")), "domain")
+    lowest = _posterior(written(members, f"{folder}/members"))
     rate, weight = F.col("rate"), F.col("n") + F.col("strength")
     bound = F.greatest(rate - deviations * F.sqrt(rate * (1 - rate) / (weight + 1)), F.lit(0.0))
     return lowest.select("host", "domain", "suffix", "n", "bad", "rate", bound.alias("bound"))
@@ -152,6 +157,7 @@ def judge(
     suffixes: Sequence[str] = (),
     limit: float = LIMIT,
     deviations: float = DEVIATIONS,
+    folder: str | None = None,
 ) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, bound.
 
@@ -164,7 +170,8 @@ def judge(
     rows = pages.select(
         F.col("page_id"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path")
     )
-    reputations = host_reputations(rows.select("page_id", "host"), outcomes, suffixes, deviations)
+    folder = folder or shared_folder(pages.sparkSession, "host-reputation")
+    reputations = host_reputations(rows.select("page_id", "host"), outcomes, folder, suffixes, deviations)
     known = reputations.select(F.col("host").alias("_host"), "bound")
     judged = rows.join(known, F.col("host") == F.col("_host"), "left").withColumn(
         "_best", best_rule(F.col("host"), F.col("path"), rules)

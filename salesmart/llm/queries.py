@@ -112,7 +112,8 @@ SUFFIXES = ["example.com", "example.net", "example.org"]
 def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled by the row of ``labels`` with its id: bad if it is toxic or of low quality."""
     labels = _table(spark, sf_dir, "labels").selectExpr("doc_id as page_id", "toxic = 1 or quality = 0 as bad")
-    judged = host_reputation.judge(_table(spark, sf_dir, "pages"), labels, URL_RULES, SUFFIXES)
+    pages = _table(spark, sf_dir, "pages")
+    judged = host_reputation.judge(pages, labels, URL_RULES, SUFFIXES, folder=shared_folder(spark, "op12"))
     return judged.withColumn("bound", F.round("bound", 6))
 
 
