@@ -101,8 +101,9 @@ def chat_windows(
     turns are the system turn and history that earlier windows hold. ``tokens``
     names a column with exact counts. Null texts and roles are empty, a null
     conv_id is a conversation of its own, repeated rows are turns of their own,
-    other columns are ignored, an empty table gives no row. Of a conversation,
-    only sizes meet in one task; texts meet by window.
+    other columns are ignored, an empty table gives no row. A conversation's turns are
+    put in order in one task, with their texts, which a turn number that repeats is
+    ordered by; after that, texts meet by window.
     """
     numbered = _numbered(turns, tokens)
     spans = _spans(numbered, budget, history)

@@ -28,6 +28,8 @@ SLOTS_PER_GRAM = 16
 TRAIN_ROWS = 20_000
 #: Labelled documents that a rare language has among them, about, or all if there are fewer.
 LEAST_ROWS = 100
+#: Languages learned, the most frequent ones; bounds what the driver and each plan hold.
+LANGUAGES = 1024
 #: Share of a language's documents that must hold an n-gram, and how far it may lie
 #: below the language that holds it most.
 LEAST_SHARE = 0.01
@@ -153,12 +155,17 @@ def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc
 
     All if there are at most ``train_rows``, else a share of them, but of a language
     with fewer than LEAST_ROWS in that share about LEAST_ROWS, or all it has if there
-    are fewer; so every labelled language has some.
+    are fewer; so every labelled language has some. Of more than LANGUAGES languages the
+    most frequent are learned.
     """
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))
     )
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    first = {r["lang"]: r["n"] for r in counts.limit(LANGUAGES + 1).collect()}
+    rows = dict(list(first.items())[:LANGUAGES])
+    if len(first) > len(rows):
+        labelled = labelled.where(F.col("lang").isin(list(rows)))
     total = sum(rows.values())
     if total <= train_rows:
         return labelled
@@ -265,7 +272,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> B
 def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text") -> DataFrame:
     """Adds lang_pred and score by the whole text; columns of those names are replaced.
 
-    ``und`` with score 0 where the text is null or has no letter.
+    ``und`` with score 0 where the text is null, empty or has no letter, or no language
+    was learned. Rows stay as they are, also with null or repeated keys.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     rows = docs.select(*kept)

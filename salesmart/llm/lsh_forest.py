@@ -55,8 +55,8 @@ SKETCH_LEVELS = SKETCH // TREES
 AGREE = 36
 #: Bits of the map of a set's shingles that bounds what two sets share.
 MAP_BITS = 1 << 12
-#: Bits of the filter that picks the texts of linked documents; a fixed megabyte.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that picks the texts of linked documents: for each of them, and in all.
+FILTER_BITS_EACH, FILTER_BITS = 16, (1 << 20, 1 << 27)
 #: Bytes of text worked on at once, and shingles hashed at once.
 TEXT_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 2048
@@ -332,17 +332,24 @@ def _trees(reps: DataFrame, *more: str) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
+def filter_bits(wanted: int) -> int:
+    """A power of two with room for that many, within bounds."""
+    least, most = FILTER_BITS
+    return min(most, max(least, 1 << (FILTER_BITS_EACH * wanted).bit_length()))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, path: str, words: int) -> DataFrame:
     """rep, shingles of the documents in ``wanted`` (rep), read again from the texts.
 
-    A filter of fixed size drops most other texts where they are read; a join of
-    what is left decides.
+    A filter, of 16 megabytes at most, drops most other texts where they are read; a join
+    of what is left decides.
     """
-    slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    size = filter_bits(wanted.count())
+    slot = F.pmod(F.xxhash64("rep"), F.lit(size))
     bits = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")
     )
-    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held = np.zeros(size // 64, np.int64)
     for part in bits.toArrow().to_batches():
         held[part.column("word").to_numpy()] = part.column("bits").to_numpy()
     held = held.view(np.uint64)
@@ -516,7 +523,8 @@ def near_duplicates(
     pairs = written(_trees(reps).mapInArrow(_forest_pairs, PAIRS).distinct(), f"{folder}/pairs")
     active = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     crowded = _crowded(reps, f"{folder}/crowded")
-    sets = _sets_of(rows, active.union(crowded).distinct(), f"{folder}/sets", words)
+    wanted = written(active.union(crowded).distinct(), f"{folder}/wanted")
+    sets = _sets_of(rows, wanted, f"{folder}/sets", words)
     links = written(_linked(pairs, sets), f"{folder}/links")
     parts = written(components(links, f"{folder}/first"), f"{folder}/first-parts")
 

@@ -202,7 +202,8 @@ def compare_with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame
     if firsts is None:
         return spark.createDataFrame([], NEXT)
     dealt = rows.mapInArrow(deal, "range int, borrowed boolean, at bigint, text string")
-    ordered = dealt.repartition(len(firsts), "range").sortWithinPartitions("range", "borrowed", "at", "text")
+    # By the number itself: by its hash, some tasks would get several ranges and others none.
+    ordered = dealt.repartitionById(len(firsts), "range").sortWithinPartitions("range", "borrowed", "at", "text")
     return ordered.mapInArrow(compare, NEXT)
 
 

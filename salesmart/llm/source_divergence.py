@@ -35,6 +35,8 @@ KEPT_IN = 30
 PRIOR, SCALE = 5, 1_000_000_000
 #: Words of a tile (on average) and sources of a block.
 TILE_WORDS, BLOCK_SOURCES = 1024, 256
+#: Parts into which the words of a language are dealt where they meet its totals.
+SALTS = 64
 #: Words that rank in a report of a group.
 TOP_TERMS = 50
 #: Words held in a counting task before they are handed on.
@@ -287,7 +289,10 @@ def divergence(
     cells = held.join(groups, ["lang", "source"])
 
     again = groups.sparkSession.read.schema(groups.schema).parquet(f"{folder}/groups")  # apart from the one in cells
-    pairs = written(_pairs(cells, again, kept.join(langs, "lang")), f"{folder}/pairs")
+    # Salted, as all words of a language would meet in one task.
+    salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    pairs = written(_pairs(cells, again, sized), f"{folder}/pairs")
     both = pairs.unionByName(pairs.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     names = groups.select("lang", "place", "source")
     pair_rows = both.join(names.withColumnRenamed("place", "a"), ["lang", "a"]).join(

@@ -218,8 +218,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     pa.array([row["shard"]] * len(rows), pa.int32()),
                 ], schema=_arrow(READ))
 
-    # A row stands for a shard's files, so a number of partitions is given: small rows must not be merged.
-    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(read, READ)
+    # A row stands for a shard's files: each gets a task of its own.
+    dealt = placed.withColumn("place", (F.row_number().over(Window.orderBy("shard")) - 1).cast("int"))
+    return dealt.repartitionById(max(1, manifest.count()), "place").mapInArrow(read, READ)
 
 
 def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -146,7 +146,9 @@ class Chain:
         return out
 
     def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Adds ``p_<category>`` for each category by the whole text, null as empty.
+        """Adds ``p_<category>`` for each category by the whole text, null as empty; an empty
+        text has the probability that the fit gives to no known word. Rows stay as they are, also
+        with null or repeated keys; an empty table gives no row.
 
         Columns of those names are replaced, all others pass.
         """
@@ -162,9 +164,14 @@ class Chain:
         return rows.mapInArrow(add, with_fields(rows, ", ".join(f"`{n}` double" for n in names)))
 
 
+def _each_text(training: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """One row for equal texts; where their labels differ, the largest counts."""
+    return training.groupBy("text").agg(*(F.max(c).alias(c) for c in categories))
+
+
 def _counts(training: DataFrame, categories: Sequence[str]) -> DataFrame:
     """For each word: texts that hold it, and those of each category. Equal texts count once."""
-    once = training.dropDuplicates(["text"])
+    once = _each_text(training, categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +192,7 @@ def _counts(training: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 def _telling(training: DataFrame, categories: Sequence[str], features: int) -> Words:
     """The words that lie farthest from the categories' shares."""
-    texts = training.dropDuplicates(["text"])
+    texts = _each_text(training, categories)
     shares = texts.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in categories)).first()
     z = [
         F.abs(F.col(c) - F.col("n") * shares[c]) / F.sqrt(F.col("n") * shares[c] * (1 - shares[c]))
