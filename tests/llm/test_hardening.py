@@ -14,7 +14,17 @@ from pyspark.sql import functions as F
 from test_operators import crc
 from tokenizers import Tokenizer, models
 
-from salesmart.llm import lsh_forest, merge_automaton, residual_packing, segments, token_index, tokens, toxicity_chain
+from salesmart.llm import (
+    language_filters,
+    lsh_forest,
+    merge_automaton,
+    phrase_fingerprint,
+    residual_packing,
+    segments,
+    token_index,
+    tokens,
+    toxicity_chain,
+)
 from salesmart.llm.queries import TOKENIZER
 from salesmart.llm.shared import shared_folder, written
 
@@ -216,3 +226,31 @@ def test_packing_hands_on_what_is_of_use(spark):
     for own in bins.values():
         ends = np.cumsum([n for _, n in sorted(own)])
         assert [o for o, _ in sorted(own)] == [0, *ends[:-1].tolist()] and ends[-1] <= 100
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes beside empty ones: one word, many words, one shingle again and again."""
+    rng = np.random.default_rng(3)
+    texts = ["x" * 2_000_000, " ".join(f"w{i}" for i in rng.integers(0, 90_000, 400_000)), "again and " * 200_000, "", None, "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    reference = Tokenizer.from_file(TOKENIZER)
+    want = {i: reference.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts) if i}
+    manifest = token_index.write_shards(docs, shared_folder(spark, "t1"), TOKENIZER)
+    got = {r.doc_id: r for r in token_index.read_documents(manifest).collect()}
+    assert all(got[i].ids_crc32 == crc([*ids, 0]) for i, ids in want.items()) and len(got) == len(texts)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in merge_automaton.round_trip_digests(docs, TOKENIZER).collect():
+        assert r.decoded_sha256 == sha(texts[r.doc_id] or "") and r.n_tokens == got[r.doc_id].n_tokens - 1
+        assert r.doc_id not in want or r.ids_sha256 == sha(",".join(map(str, want[r.doc_id])))
+    cut = written(residual_packing.pieces(docs, TOKENIZER), shared_folder(spark, "t9"))
+    packed = residual_packing.pack(cut, shared_folder(spark, "t9")).collect()
+    assert sum(r.length for r in packed) == sum(r.n_tokens for r in got.values())
+    found = {r.doc_id: r for r in lsh_forest.near_duplicates(docs).collect()}
+    assert [found[i].n_shingles for i in (0, 2, 3, 4, 5)] == [1, 2, 0, 0, 1] and all(r.kept for r in found.values())
+    prints = {r.doc_id: r for r in phrase_fingerprint.compare_with_edited(docs, ranges=2).collect()}
+    assert [prints[i].n_chars for i in range(6)] == [len(t or "") for t in texts]
+    told = language_filters.identify(docs, language_filters.fit(docs)).collect()
+    assert {r.doc_id: r.lang_pred for r in told} == {0: "en", 1: "en", 2: "en", 3: "und", 4: "und", 5: "en"}
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    chain = toxicity_chain.fit(docs, labels, ["quality", "toxic"], shared_folder(spark, "t3"))
+    assert chain.predict(docs).where("p_toxic between 0 and 1").count() == 6
