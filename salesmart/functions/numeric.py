@@ -50,14 +50,25 @@ def from_cents(value: Column) -> Column:
     return value.cast("double") / F.lit(100)
 
 
+#: From this many cents on, doubles no longer hold every cent.
+EXACT_CENTS = float(1 << 53)
+
+
 def sum_cents(value: Column) -> Column:
-    """Exact sum, in hundredths, of doubles that hold two decimals.
+    """Exact sum, in hundredths, of doubles that hold two decimals, as decimal(38,0).
 
-    Finer amounts are rounded to the cent before they are added.
+    Finer amounts are rounded to the cent before they are added. Amounts beyond 9e13,
+    which doubles do not hold to the cent, are added as they are; a total beyond 1e36
+    is null, so that no single amount ends a run.
     """
     whole = F.rint(value * 100)
-    high = F.floor(whole / F.lit(float(HALF))).cast("bigint")
-    return _halves(high, (whole - high.cast("double") * F.lit(float(HALF))).cast("bigint"))
+    ordinary = F.when(F.abs(whole) < EXACT_CENTS, whole)
+    high = F.floor(ordinary / F.lit(float(HALF))).cast("bigint")
+    exact = _halves(high, (ordinary - high.cast("double") * F.lit(float(HALF))).cast("bigint")).cast("decimal(38,0)")
+    rough = F.sum(F.when(F.abs(whole) >= EXACT_CENTS, whole))
+    return F.when(rough.isNull(), exact).otherwise(
+        F.try_add(F.coalesce(exact, F.lit(0).cast("decimal(38,0)")), rough.try_cast("decimal(38,0)"))
+    )
 
 
 def sum_money(value: Column) -> Column:

@@ -152,11 +152,11 @@ def top_products(fact: DataFrame, n: int = 20) -> DataFrame:
         sum_cents(F.col("revenue")).alias("_cents"),
     )
     # Zero or no revenue divides by one, so shares come out as zero.
-    everything = F.sum("_cents")
+    everything = F.try_sum("_cents")
     base = scalar_over(by_product, base=from_cents(F.when(everything != 0, everything).otherwise(100)))["base"]
     order = [F.desc("_cents"), F.asc("product_id"), F.asc("product_name")]
     ranked = Window.orderBy(*order)
-    running = F.sum("_cents").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.try_sum("_cents").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
 
     def share(amount: Column) -> Column:
         return round_half_up(from_cents(amount) * 100.0 / F.col("_base"), 2)
@@ -190,7 +190,7 @@ def kpis_from_summaries(
     return stores.agg(
         F.coalesce(F.sum("txn_count"), zero).cast("bigint").alias("transactions"),
         F.coalesce(F.sum("units_sold"), zero).cast("bigint").alias("total_units"),
-        from_cents(F.coalesce(sum_cents(F.col("revenue")), zero)).alias("total_revenue"),
+        from_cents(F.when(F.count("revenue") > 0, sum_cents(F.col("revenue"))).otherwise(zero)).alias("total_revenue"),
         F.count_distinct("store_id").alias("stores"),
         F.count_distinct("warehouse_id").alias("warehouses"),
     ).select(
@@ -212,7 +212,7 @@ def kpi_snapshot(fact: DataFrame, distinct: Counter | None = None) -> DataFrame:
     figures = [
         F.count(F.lit(1)).alias("transactions"),
         F.coalesce(F.sum("sales_quantity"), zero).cast("bigint").alias("total_units"),
-        F.coalesce(sum_cents(F.col("revenue")), zero).alias("_cents"),
+        F.when(F.count("revenue") > 0, sum_cents(F.col("revenue"))).otherwise(zero).alias("_cents"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
     ]
@@ -231,7 +231,8 @@ def kpi_snapshot(fact: DataFrame, distinct: Counter | None = None) -> DataFrame:
 
 def _merged_bitmaps(groups: DataFrame, names: list[str]) -> DataFrame:
     """Adds up groups of sales; a group's bitmaps meet those of the same words of other groups."""
-    sums = ["transactions", "total_units", "_cents"]
+    sums = ["transactions", "total_units", "_cents", "_lost"]
+    groups = groups.withColumn("_lost", F.col("_cents").isNull().cast("int"))  # a total beyond all bounds stays one
 
     def entry(name: str, first: bool) -> Column:
         """One bitmap; the figures of the group go with the first."""
@@ -243,16 +244,18 @@ def _merged_bitmaps(groups: DataFrame, names: list[str]) -> DataFrame:
     bitmaps = groups.select(F.inline(F.array(*(entry(n, n == names[0]) for n in names))))
     merged = bitmaps.groupBy("_of", "_word").agg(
         F.bit_or("_bits").alias("_bits"),
-        *(F.sum(c).alias(c) for c in sums),
+        *(F.try_sum(c).alias(c) for c in sums),
         F.min("date_min").alias("date_min"),
         F.max("date_max").alias("date_max"),
     )
     counts = [
         F.coalesce(F.sum(F.when(F.col("_of") == n, F.bit_count("_bits"))), F.lit(0)).cast("bigint").alias(n) for n in names
     ]
-    return merged.agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums),
+    totals = merged.agg(
+        *(F.coalesce(F.try_sum(c), F.lit(0)).alias(c) for c in sums),
         F.min("date_min").alias("date_min"),
         F.max("date_max").alias("date_max"),
         *counts,
-    ).withColumns({c: F.col(c).cast("bigint") for c in ("transactions", "total_units")})
+    )
+    known = totals.withColumn("_cents", F.when(F.col("_lost") == 0, F.col("_cents")))
+    return known.withColumns({c: F.col(c).cast("bigint") for c in ("transactions", "total_units")})

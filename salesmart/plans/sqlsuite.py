@@ -19,11 +19,16 @@ from salesmart.schema import TIER_LABELS
 from salesmart.session import concurrently
 from salesmart.sources.tables import write_table
 
-_HIGH = "CAST(floor(rint(revenue * 100) / 1e9D) AS BIGINT)"
 # Whole cents summed in two halves, as in functions/numeric.py: no sum overflows.
+_WHOLE = "rint(revenue * 100)"
+_EXACT = f"abs({_WHOLE}) < 9007199254740992D"
+_HIGH = f"CAST(floor(CASE WHEN {_EXACT} THEN {_WHOLE} END / 1e9D) AS BIGINT)"
+_LOW = f"CAST(CASE WHEN {_EXACT} THEN {_WHOLE} END - {_HIGH} * 1e9D AS BIGINT)"
+_ROUGH = f"SUM(CASE WHEN NOT {_EXACT} THEN {_WHOLE} END)"
+_SUM = f"CAST(CAST(SUM({_HIGH}) AS DECIMAL(28,0)) * CAST(1000000000 AS DECIMAL(10,0)) + SUM({_LOW}) AS DECIMAL(38,0))"
 CENTS = (
-    f"(CAST(SUM({_HIGH}) AS DECIMAL(28,0)) * CAST(1000000000 AS DECIMAL(10,0))"
-    f" + SUM(CAST(rint(revenue * 100) - {_HIGH} * 1e9D AS BIGINT)))"
+    f"(CASE WHEN {_ROUGH} IS NULL THEN {_SUM}"
+    f" ELSE try_add(COALESCE({_SUM}, CAST(0 AS DECIMAL(38,0))), TRY_CAST({_ROUGH} AS DECIMAL(38,0))) END)"
 )
 TIER_ORDER = f"array_position(array{tuple(TIER_LABELS)}, demand_level)"
 
@@ -47,7 +52,7 @@ QUERIES = {
         ORDER BY units DESC, warehouse_id""",
     "q2_top_products_by_name": f"""
         WITH sold AS ({_sales_by("product_id")})
-        SELECT product_name, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue, SUM(units) AS units
+        SELECT product_name, CAST(try_sum(cents) AS DOUBLE) / 100 AS revenue, SUM(units) AS units
         FROM sold JOIN dim_product USING (product_id)
         GROUP BY product_name
         ORDER BY revenue DESC, product_name
@@ -75,7 +80,7 @@ QUERIES = {
     "q6_weekend_split": f"""
         WITH sold AS ({_sales_by("date_id")})
         SELECT CASE WHEN weekday IN (5, 6) THEN 'weekend' ELSE 'weekday' END AS day_type,
-               SUM(units) AS units, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue
+               SUM(units) AS units, CAST(try_sum(cents) AS DOUBLE) / 100 AS revenue
         FROM sold JOIN dim_date USING (date_id)
         GROUP BY day_type""",
     "q7_store_in_warehouse": f"""
@@ -85,7 +90,7 @@ QUERIES = {
         ORDER BY w.warehouse_id, revenue DESC, w.store_id""",
     "api_sales_summary": f"""
         WITH sold AS ({_sales_by("date_id")})
-        SELECT year, month, SUM(units) AS units, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue
+        SELECT year, month, SUM(units) AS units, CAST(try_sum(cents) AS DOUBLE) / 100 AS revenue
         FROM sold JOIN dim_date USING (date_id)
         GROUP BY 1, 2
         ORDER BY 1, 2""",

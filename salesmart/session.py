@@ -58,17 +58,15 @@ def concurrently(
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
-    """A session for tests and the benchmark."""
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("salesmart")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
+    """A session for tests and the benchmark: the settings of a small input, and no web page."""
+    settings = shuffle_settings(input_bytes=0) | {
+        "spark.app.name": "salesmart",
+        "spark.master": f"local[{cpus}]",
+        "spark.driver.memory": memory,
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    spark = SparkSession.builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -146,3 +146,18 @@ def test_an_empty_run(spark, raw_of, tmp_path):
     result = batch.run_pipeline(spark, raw_of({"price": None}), str(tmp_path))
     assert (result.raw_rows, result.clean_rows, result.corrupt_rows) == (1, 0, 0)
     assert result.kpis["date_min"] is None and result.kpis["total_units"] == 0
+
+
+@pytest.mark.parametrize("price, total", [(1e30, 1e30), (1e300, None)])
+def test_one_absurd_amount_does_not_end_the_run(spark, raw_of, tmp_path, price, total):
+    """A sum beyond what a decimal holds is null; everything else is as without that sale."""
+    raw = raw_of({"store_id": 1}, {"product_id": 2, "sales_quantity": 1.0, "price": price}, {"store_id": 3, "price": 9e13})
+    tables = batch.run_full(spark, raw, str(tmp_path), seeds=range(1), k=2)
+    stores = {r.store_id: r.revenue for r in tables["store_summary"].collect()}
+    assert stores[3] == pytest.approx(18e13) and (stores[1] is None if total is None else stores[1] == pytest.approx(total))
+    snapshot = summaries.kpi_snapshot(tables["clean_sales"]).first()
+    assert snapshot.transactions == 3 and snapshot.stores == 2
+    for found in (snapshot, tables["kpis"].first()):
+        assert found.total_units == 5
+    assert snapshot.total_revenue is None if total is None else snapshot.total_revenue == pytest.approx(total)
+    assert {r.status for r in tables["query_suite"].collect()} == {"ok"}
