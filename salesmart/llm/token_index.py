@@ -6,7 +6,10 @@ them. ``<shard>.idx`` holds where each document begins, its key, and the index:
 minimal perfect hash maps the shard's distinct keys to slots 0..n-1 without
 storing keys, and the slot holds a fingerprint of its key, the number of the first
 row with that key and the count of such rows. A lookup hashes the key, reads one
-slot and compares the fingerprint: constant time, no search.
+slot and compares the fingerprint: constant time, no search. Each word of the hash
+stands in the file beside the number of bits set before it, so a single key costs a
+few reads of some bytes, however large the shard is; who asks for many keys of a shard
+reads its index whole.
 
 Documents lie in ascending order of their key over the shards, so the shard of a
 key follows from the manifest's first and last keys.
@@ -28,7 +31,10 @@ from salesmart.llm.shared import file_system, read_whole, write_whole, written
 from salesmart.llm.tokens import text_encoder
 
 END_ID = 0
-MAGIC = 0x31584449  # "IDX1"
+MAGIC = 0x32584449  # "IDX2"
+HEAD = 6  # numbers at the beginning of an index
+#: Rows of a shard for each key asked from which on single reads are fewer than the index's.
+ROWS_PER_KEY = 64
 #: Bits per key at each level of the hash; more bits leave fewer levels.
 BITS_PER_KEY = 2
 SEEDS = seeds("levels", 64)
@@ -94,29 +100,38 @@ def index_bytes(keys: np.ndarray, null_keys: int, offsets: np.ndarray) -> list[b
     slot = hashed.slots(names)
     table = np.zeros((3, len(names)), "<u4")
     table[:, slot] = fingerprints(names), first + null_keys, count
+    table = np.ascontiguousarray(table.T)
     head = np.array([MAGIC, len(keys), null_keys, len(names), len(hashed.sizes), len(hashed.words)], "<i8")
-    parts = (head, offsets.astype("<i8"), keys.astype("<i8"), hashed.sizes.astype("<i8"), hashed.words, table)
-    return [p.tobytes() for p in parts]
+    ranked = np.stack([hashed.words.view("<i8"), hashed.before], axis=1)
+    parts = (head, hashed.sizes, ranked, table, offsets, keys)
+    return [p.astype(p.dtype if p.dtype == "<u4" else "<i8").tobytes() for p in parts]
+
+
+class _Layout:
+    """Where the parts of an index file begin."""
+
+    def __init__(self, head: np.ndarray):
+        if head[0] != MAGIC:
+            raise ValueError("not an index file")
+        self.rows, self.null_keys, self.names, self.levels, self.words = (int(x) for x in head[1:])
+        self.sizes = 8 * HEAD
+        self.hash = self.sizes + 8 * self.levels
+        self.table = self.hash + 16 * self.words
+        self.offsets = self.table + 12 * self.names
+        self.keys = self.offsets + 8 * (self.rows + 1)
 
 
 class ShardIndex:
     """An index file in memory."""
 
     def __init__(self, raw: bytes):
-        head = np.frombuffer(raw, "<i8", 6)
-        if head[0] != MAGIC:
-            raise ValueError("not an index file")
-        rows, self.null_keys, names, levels, words = (int(x) for x in head[1:])
-        at = 48
-        self.offsets = np.frombuffer(raw, "<i8", rows + 1, at)
-        at += 8 * (rows + 1)
-        self.keys = np.frombuffer(raw, "<i8", rows, at)
-        at += 8 * rows
-        sizes = np.frombuffer(raw, "<i8", levels, at)
-        at += 8 * levels
-        self.hash = PerfectHash(sizes, np.frombuffer(raw, "<u8", words, at))
-        at += 8 * words
-        self.prints, self.first, self.count = np.frombuffer(raw, "<u4", 3 * names, at).reshape(3, names)
+        at = _Layout(np.frombuffer(raw, "<i8", HEAD))
+        self.null_keys = at.null_keys
+        ranked = np.frombuffer(raw, "<i8", 2 * at.words, at.hash).reshape(-1, 2)
+        self.hash = PerfectHash(np.frombuffer(raw, "<i8", at.levels, at.sizes), ranked[:, 0].copy().view("<u8"))
+        self.prints, self.first, self.count = np.frombuffer(raw, "<u4", 3 * at.names, at.table).reshape(-1, 3).T
+        self.offsets = np.frombuffer(raw, "<i8", at.rows + 1, at.offsets)
+        self.keys = np.frombuffer(raw, "<i8", at.rows, at.keys)
 
     def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key; 0 rows for keys that the shard lacks."""
@@ -128,6 +143,46 @@ class ShardIndex:
         first[found], count[found] = self.first[slot[found]], self.count[slot[found]]
         return first, count
 
+    def places_of(self, key: int) -> np.ndarray:
+        """Where the key's rows begin in the payload, and where the last one ends; empty for none."""
+        first, count = (int(x[0]) for x in self.rows_of(np.array([key], np.int64)))
+        return self.offsets[first : first + count + 1] if count else np.empty(0, np.int64)
+
+
+class IndexFile:
+    """An index file read in places: a few bytes for a key."""
+
+    def __init__(self, source):
+        self.source = source
+        self.at = _Layout(np.frombuffer(self._read(0, 8 * HEAD), "<i8"))
+        self.sizes = np.frombuffer(self._read(self.at.sizes, 8 * self.at.levels), "<i8")
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(size)
+
+    def _slot(self, name: np.ndarray) -> int:
+        begin = 0
+        for level, size in enumerate(self.sizes.tolist()):
+            bit = begin + int(PerfectHash._place(name, level, size)[0])
+            word, before = np.frombuffer(self._read(self.at.hash + 16 * (bit >> 6), 16), "<i8").tolist()
+            word, low = word & 0xFFFFFFFFFFFFFFFF, bit & 63
+            if word >> low & 1:
+                return before + (word & (1 << low) - 1).bit_count()
+            begin += size
+        return -1
+
+    def places_of(self, key: int) -> np.ndarray:
+        """As of :class:`ShardIndex`."""
+        name = np.array([key], "<i8").view("<u8")
+        slot = self._slot(name)
+        if slot < 0:
+            return np.empty(0, np.int64)
+        print_, first, count = np.frombuffer(self._read(self.at.table + 12 * slot, 12), "<u4").tolist()
+        if print_ != int(fingerprints(name)[0]):
+            return np.empty(0, np.int64)
+        return np.frombuffer(self._read(self.at.offsets + 8 * first, 8 * (count + 1)), "<i8")
+
 
 def with_end(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``END_ID`` after each document, and the new bounds."""
@@ -246,17 +301,20 @@ def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFra
     owned = wanted.mapInArrow(owner, "key bigint, uri string, item_bytes int")
 
     def find(group: tuple, table: pa.Table) -> pa.Table:
-        index = ShardIndex(read_whole(f"{group[0].as_py()}.idx"))
+        uri = group[0].as_py()
         kind = np.dtype(f"<u{table.column('item_bytes')[0].as_py()}")
-        asked = table.column("key").to_numpy()
-        files, path = file_system(f"{group[0].as_py()}.ids")
+        asked = table.column("key").to_pylist()
+        files, path = file_system(uri)
         out_keys, out_ids = [], []
-        with files.open_input_file(path) as payload:
-            for name, first, count in zip(asked, *index.rows_of(asked)):
-                for r in range(first, first + count):
-                    lo, hi = int(index.offsets[r]), int(index.offsets[r + 1])
+        with files.open_input_file(f"{path}.idx") as source, files.open_input_file(f"{path}.ids") as payload:
+            index = IndexFile(source)
+            if len(asked) * ROWS_PER_KEY > index.at.rows:
+                index = ShardIndex(read_whole(f"{uri}.idx"))
+            for key in asked:
+                places = index.places_of(key).tolist()
+                for lo, hi in zip(places, places[1:]):
                     payload.seek(lo * kind.itemsize)
-                    out_keys.append(name)
+                    out_keys.append(key)
                     out_ids.append(np.frombuffer(payload.read((hi - lo) * kind.itemsize), kind).astype(np.int64))
         return pa.table({"key": pa.array(out_keys, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64()))})
 

@@ -254,3 +254,51 @@ def test_very_long_texts(spark):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(6)], "doc_id bigint, quality int, toxic int")
     chain = toxicity_chain.fit(docs, labels, ["quality", "toxic"], shared_folder(spark, "t3"))
     assert chain.predict(docs).where("p_toxic between 0 and 1").count() == 6
+
+
+class _Counted:
+    """A file in memory that counts what is read of it."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.bytes, self.reads = raw, 0, 0, 0
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, size: int) -> bytes:
+        self.bytes, self.reads = self.bytes + size, self.reads + 1
+        return self.raw[self.at : self.at + size]
+
+
+def test_a_key_costs_a_few_bytes_of_the_index():
+    """Whatever the shard's size; the whole index in memory says the same."""
+    rng = np.random.default_rng(5)
+    for rows in (10, 1_000, 200_000):
+        keys = np.sort(rng.integers(-(10**12), 10**12, rows))
+        keys[rows // 2 : rows // 2 + 3] = keys[rows // 2]  # a key on several rows
+        keys = np.concatenate([[0, 0], np.sort(keys)])
+        offsets = np.concatenate([[0], np.cumsum(rng.integers(1, 50, len(keys)))])
+        raw = b"".join(token_index.index_bytes(keys, 2, offsets))
+        whole = token_index.ShardIndex(raw)
+        source = _Counted(raw)
+        index = token_index.IndexFile(source)
+        asked = [int(k) for k in rng.choice(keys[2:], 40)] + [int(keys[rows // 2 + 3]), 10**13, -7]
+        for key in asked:
+            source.bytes = source.reads = 0
+            found = index.places_of(key)
+            at = np.flatnonzero(keys[2:] == key) + 2
+            want = offsets[at[0] : at[-1] + 2] if len(at) else np.empty(0, np.int64)
+            assert found.tolist() == want.tolist() == whole.places_of(key).tolist()
+            assert source.bytes < 600 and source.reads <= 34
+        assert whole.keys.tolist() == keys.tolist() and whole.null_keys == 2
+
+
+def test_lookup_of_few_and_of_many_keys(spark):
+    docs = spark.createDataFrame([(i % 400, f"text {i} of many") for i in range(500)], "doc_id bigint, text string")
+    manifest = token_index.write_shards(docs, shared_folder(spark, "t1"), TOKENIZER)
+    reference = Tokenizer.from_file(TOKENIZER)
+    want = sorted((r.doc_id, [*reference.encode(r.text, add_special_tokens=False).ids, 0]) for r in docs.collect())
+    keys = docs.select("doc_id").distinct()
+    for some in (keys, keys.where("doc_id in (3, 77, 399)"), keys.where("doc_id < 0")):
+        held = {r.doc_id for r in some.collect()}
+        assert sorted((r.key, r.ids) for r in token_index.lookup(some, manifest).collect()) == [w for w in want if w[0] in held]
