@@ -356,8 +356,7 @@ BODIES = {
     + ", ".join(f"(CAST({i} AS INT), '{c}', '{t}')" for i, (c, t) in enumerate(RAW_TYPES, 1))
     + ") t(position, column_name, data_type), (SELECT COUNT(*) AS row_count FROM raw) n",
     "sink_table": f"SELECT store_id, warehouse_id, {MEASURES} FROM fact GROUP BY store_id, warehouse_id",
-    "sink_report_json": """SELECT stage, total_rows, rows_removed, pct_removed, duplicate_rows,
-        total_units, total_revenue FROM dq, kpis""",
+    "sink_report_json": "SELECT * FROM dq, kpis",
     "sink_replace": f"""SELECT date, is_weekend, {_bigint("SUM(sales_quantity)")} AS units
         FROM fact GROUP BY date, is_weekend""",
     "load_processed": "SELECT * FROM fact",
