@@ -11,8 +11,8 @@ stands in the file beside the number of bits set before it, so a single key cost
 few reads of some bytes, however large the shard is; who asks for many keys of a shard
 reads its index whole.
 
-Documents lie in ascending order of their key over the shards, so the shard of a
-key follows from the manifest's first and last keys.
+Documents lie in ascending order of their key over the shards, so the shards of a
+key follow from the manifest's first and last keys.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesmart.llm.segments import mix, seeds
+from salesmart.llm.segments import mix, ragged, seeds
 from salesmart.llm.shared import file_system, read_whole, write_whole, written
 from salesmart.llm.tokens import text_encoder
 
@@ -193,11 +193,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     """Writes the ids of all whole texts below ``folder``; returns the manifest, one row per shard.
 
     Documents are dealt by ranges of their key. Null texts are empty. Rows that
-    repeat a key stay together, in the order of their texts; rows with a null key
-    come first and have no entry in the index. An empty table gives no shard.
-    A shard that is written again after a loss replaces the same files.
+    repeat a key follow each other, in the order of a hash of their texts, and may fill
+    several shards; rows with a null key come first and have no entry in the index. An
+    empty table gives no shard. A shard that is written again after a loss replaces the
+    same files.
     """
     names = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    names = names.withColumns({"print": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer)
@@ -225,8 +227,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         }
         yield pa.RecordBatch.from_pylist([row], schema=_arrow(MANIFEST))
 
-    ranged = names.repartitionByRange(F.col("key").asc_nulls_first())
-    ordered = ranged.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("key").asc_nulls_first(), "print", "tie"]
+    ordered = names.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     return written(ordered.mapInArrow(shard, MANIFEST), f"{folder}/manifest")
 
 
@@ -281,21 +283,24 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """The ids of the documents with the given keys: ``key``, ``ids`` per document found.
 
-    Keys are dealt to the shards by the manifest's first keys (one number per shard),
-    so that a shard's index is read by one task only.
+    Keys are dealt to the shards by the manifest's first and last keys (two numbers per
+    shard), so that a shard's index is read by one task only.
     """
     wanted = keys.select(F.col(key).cast("bigint").alias("key")).dropna().distinct()
-    shards = manifest.dropna(subset=["first_key"]).orderBy("first_key").collect()
+    shards = manifest.dropna(subset=["first_key"]).orderBy("shard").collect()
     first_keys = np.array([s["first_key"] for s in shards], np.int64)
+    last_keys = np.array([s["last_key"] for s in shards], np.int64)
     uris, sizes = [s["uri"] for s in shards], [s["item_bytes"] for s in shards]
 
     def owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(first_keys, batch.column(0).to_numpy(), "right") - 1
-            inside = at >= 0
+            asked = batch.column(0).to_numpy()
+            begin = np.searchsorted(last_keys, asked, "left")
+            count = np.maximum(np.searchsorted(first_keys, asked, "right") - begin, 0)
+            at = ragged(begin, count)
             yield pa.RecordBatch.from_pydict({
-                "key": batch.column(0).filter(pa.array(inside)), "uri": [uris[i] for i in at[inside]],
-                "item_bytes": pa.array([sizes[i] for i in at[inside]], pa.int32()),
+                "key": pa.array(np.repeat(asked, count), pa.int64()), "uri": pa.array([uris[i] for i in at], pa.string()),
+                "item_bytes": pa.array([sizes[i] for i in at], pa.int32()),
             })
 
     owned = wanted.mapInArrow(owner, "key bigint, uri string, item_bytes int")

@@ -302,3 +302,21 @@ def test_lookup_of_few_and_of_many_keys(spark):
     for some in (keys, keys.where("doc_id in (3, 77, 399)"), keys.where("doc_id < 0")):
         held = {r.doc_id for r in some.collect()}
         assert sorted((r.key, r.ids) for r in token_index.lookup(some, manifest).collect()) == [w for w in want if w[0] in held]
+
+
+def test_a_key_on_many_rows_fills_several_shards(spark):
+    """Half of all rows share a key, some also the text; another part has no key."""
+    rows = [(7, f"text {i % 90}") for i in range(600)] + [(None, "none")] * 200 + [(i, f"own {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_index.write_shards(docs, shared_folder(spark, "t1"), TOKENIZER)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in manifest.collect()) < 600
+    read = sorted(token_index.read_documents(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in read] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    reference = Tokenizer.from_file(TOKENIZER)
+    want = sorted((k, [*reference.encode(t, add_special_tokens=False).ids, 0]) for k, t in rows if k in (7, 8))
+    keys = spark.createDataFrame([(7,), (8,), (10**9,)], "doc_id bigint")
+    assert sorted((r.key, r.ids) for r in token_index.lookup(keys, manifest).collect()) == want
