@@ -21,6 +21,22 @@ def test_round_half_up_leaves_huge_values_alone(spark):
     assert df.first().r == 1e35
 
 
+@pytest.mark.parametrize("value", [9e28, -9e28, 1.1e29, 1e300])
+def test_round_half_up_at_its_border(spark, value):
+    """Whole numbers as they are, on both sides of what the decimal holds."""
+    assert spark.range(1).select(numeric.round_half_up(F.lit(value), 2).alias("r")).first().r == value
+
+
+def test_money_at_the_border_of_exact_cents(spark):
+    """Up to 2**53 cents exact, beyond as doubles; a total that no decimal holds is null."""
+    exact = float((1 << 53) - 1) / 100
+    total = lambda *x: spark.createDataFrame([(v,) for v in x], "x double").agg(numeric.sum_money(F.col("x")).alias("s")).first().s
+    assert total(exact, -exact, 0.01) == 0.01
+    assert total(1e20, 0.25) == pytest.approx(1e20) and total(1e30, 1e30) == pytest.approx(2e30)
+    assert total(1e36, 1e36) is None and total(1e300) is None
+    assert total(None) is None and total(None, 1.5) == 1.5
+
+
 @pytest.mark.parametrize("value, expected", [(2.5, 2), (3.5, 4), (-2.5, -2), (10.500000000000002, 11)])
 def test_round_half_even(spark, value, expected):
     assert spark.range(1).select(numeric.round_half_even(F.lit(value)).alias("r")).first().r == expected
