@@ -86,3 +86,18 @@ def test_every_counter_of_the_dirty_rows_counts(spark):
     assert all(profile[c] > 0 for c in quality.COUNTERS)
     report = entry_module.queries()["dirty_dq_report"](spark, SF_DIR).where("stage = 'after_clean'").first()
     assert report.duplicate_rows > 0 and report.null_any_key_field == 0
+
+
+@pytest.mark.parametrize("by_product", [True, False])
+def test_features_move_a_row_per_product(spark, by_product):
+    """No row is expanded for the distinct days and stores; sales that lie by product are not shuffled again."""
+    rows = [(i % 7, f"p{i % 2}", 1 + i % 3, 5, 1.0, 1.0, f"2026-06-{1 + i % 9:02d}", i % 5) for i in range(300)]
+    names = "product_id int, product_name string, sales_quantity int, stock_quantity int, revenue double, price double, date string, store_id int"
+    sales = spark.createDataFrame(rows, names).withColumn("date", F.col("date").cast("date"))
+    features = summaries.product_features(sales.repartition(4, *(["product_id"] if by_product else [])))
+    plan = final_plan(features)
+    assert "Expand" not in plan
+    assert plan.count(" Exchange ") == (1 if by_product else 2)
+    plain = sales.groupBy("product_id", "product_name").agg(F.count_distinct("store_id"), F.sum("sales_quantity"), F.count_distinct("date"))
+    want = {tuple(r)[:4] + (round(r[3] / r[4] + 1e-9, 2),) for r in plain.collect()}
+    assert {(r.product_id, r.product_name, r.store_count, r.total_sales, r.avg_daily_sales) for r in features.collect()} == want
