@@ -56,12 +56,14 @@ def fits_by_seed(
     """One k-means fit for each seed, in order.
 
     The fits are many short jobs over the same cached vectors; submitting them
-    from several threads keeps the executors busy between iterations.
+    from several threads keeps the executors busy between iterations. Each fit keeps the
+    vectors as blocks (small beside the cached rows), which an iteration reads as they
+    are; the row solver would decode the cached rows again in every iteration.
     """
     tolerance = default_tolerance(k) if tol is None else tol
 
     def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance).fit(vectors)
+        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance, solver="block").fit(vectors)
 
     fits = {str(seed): partial(fit, seed) for seed in seeds}
     return list(concurrently(vectors.sparkSession, fits, parallelism).values())

@@ -85,3 +85,15 @@ def test_check_sees_wrong_tiers(spark, features):
     assert check(tiered.withColumn("demand_level", F.when(one, "High").otherwise(F.col("demand_level"))))["mixed_labels"] == 1
     assert check(tiered, [costs[0] / 2, *costs])["cheaper_seeds"] == 1
     assert check(tiered.withColumn("cluster", F.lit(0)))["clusters"] == 1
+
+
+def test_fits_keep_blocks_and_find_what_rows_find(features):
+    from pyspark.ml.clustering import KMeans
+
+    vectors = tiers._assembled(features, TIER_FEATURES).select("features").cache()
+    models = tiers.fits_by_seed(vectors, seeds=range(2))
+    assert {m.getSolver() for m in models} == {"block"}
+    rows = [KMeans(k=3, seed=s, maxIter=300, tol=tiers.default_tolerance(3), solver="row").fit(vectors) for s in range(2)]
+    for a, b in zip(models, rows):
+        assert np.allclose(a.clusterCenters(), b.clusterCenters())
+        assert a.summary.numIter == b.summary.numIter
